@@ -1,0 +1,47 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT_KEYS = 64
+SALTS = 32
+
+
+def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
+    """Keys that hold at least ``share`` of the rows; at most ``1 / share`` exist.
+
+    A heavy-hitter sketch is built on the map side, so this reads one column and sends
+    the driver a bounded list.
+    """
+    sketch = df.filter(F.col(key).isNotNull()).agg(
+        F.approx_top_k(F.col(key), F.lit(MAX_HOT_KEYS), F.lit(MAX_HOT_KEYS * 16)).alias("top"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    row = sketch.first()
+    floor = max(row["n"] * share, 1)
+    return [item["item"] for item in row["top"] or [] if item["count"] >= floor]
+
+
+def skew_join(
+    fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = 0.02
+) -> DataFrame:
+    """Equi-join in which the hot keys of ``fact`` are salted.
+
+    Rows of a hot key are spread over ``SALTS`` buckets and the matching ``dim`` rows are repeated
+    once per bucket; all other keys use bucket 0. Which keys count as hot affects balance only,
+    never the result.
+    """
+    hot = hot_keys(fact, key, share)
+    if not hot:
+        return fact.join(dim, key, how)
+    bucket = F.when(
+        F.col(key).isin(hot), F.pmod(F.xxhash64(*[c for c in fact.columns]), F.lit(SALTS))
+    ).otherwise(F.lit(0).cast("long"))
+    copies = F.when(
+        F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    ).otherwise(F.array(F.lit(0).cast("long")))
+    salted = fact.withColumn("_salt", bucket)
+    spread = dim.withColumn("_salt", F.explode(copies))
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
