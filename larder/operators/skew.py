@@ -16,7 +16,9 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
     the driver a bounded list.
     """
     sketch = df.filter(F.col(key).isNotNull()).agg(
-        F.approx_top_k(F.col(key), F.lit(MAX_HOT_KEYS), F.lit(MAX_HOT_KEYS * 16)).alias("top"),
+        F.call_function(
+            "approx_top_k", F.col(key), F.lit(MAX_HOT_KEYS), F.lit(MAX_HOT_KEYS * 16)
+        ).alias("top"),
         F.count(F.lit(1)).alias("n"),
     )
     row = sketch.first()
