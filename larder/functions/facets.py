@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import vocab
 from larder.functions.text import (
-    WS, blank_to_null, collapse_ws, contains_any, let, lookup, tags_where,
+    WS, blank_to_null, collapse_ws, contains_any, let, lookup, stage, tags_where,
 )
 
 INGREDIENTS = (
@@ -77,13 +77,14 @@ def add_facts(
     """
     blank = F.lit("")
     named = F.array_join(explicit_allergens, " ") if explicit_allergens is not None else blank
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "_ingredients": blank_to_null(ingredients),
             "_list": F.lower(F.coalesce(ingredients, blank)),
             "_labels": F.lower(F.coalesce(label_text, blank)) if label_text is not None else blank,
             "_named": F.lower(F.coalesce(named, blank)),
-        }
+        },
     )
     df = df.withColumns(
         {
@@ -96,22 +97,26 @@ def add_facts(
         dietary = union_tags(dietary, map_tags(label_tags, vocab.BARCODE_LABEL_TAGS))
     if allergen_tags is not None:
         allergens = union_tags(allergens, map_tags(allergen_tags, vocab.BARCODE_ALLERGEN_TAGS))
-    df = df.withColumns(
-        {"_dietary": dietary, "_allergens": allergens, "_sweet": scan_sweeteners(F.col("_list"))}
+    df = stage(
+        df,
+        {
+            "_told": F.col("_ingredients"), "_dietary": dietary, "_allergens": allergens,
+            "_sweet": scan_sweeteners(F.col("_list")),
+        },
     )
     known = (
-        F.col("_ingredients").isNotNull()
+        F.col("_told").isNotNull()
         | (F.size("_dietary") > 0)
         | (F.size("_allergens") > 0)
         | (F.size("_sweet") > 0)
     )
     facts = F.struct(
-        F.col("_ingredients").alias("ingredients_text"),
+        F.col("_told").alias("ingredients_text"),
         F.col("_dietary").alias("dietary_labels"),
         F.col("_allergens").alias("allergens"),
         F.col("_sweet").alias("sweeteners"),
     )
-    staged = ["_ingredients", "_list", "_labels", "_named", "_claims", "_allergy", "_dietary",
+    staged = ["_told", "_ingredients", "_list", "_labels", "_named", "_claims", "_allergy", "_dietary",
               "_allergens", "_sweet"]
     return df.withColumn(name, F.when(known, facts)).drop(*staged)
 

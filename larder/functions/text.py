@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode word characters, and whitespace as text sources use it. `\b` differs between
@@ -80,3 +80,15 @@ def tags_where(flags: dict[str, Column]) -> Column:
     """
     marks = [F.when(cond, F.lit(tag)).otherwise(F.lit("")) for tag, cond in flags.items()]
     return F.array_remove(F.array(*marks), "")
+
+
+def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Like ``withColumns``, but the columns are computed exactly once per row.
+
+    A later filter on a plain projection is pushed below it together with a copy of its whole
+    expression; behind a pattern match or a word scan that repeats the expensive part many times.
+    A one-element generator is a boundary that filters on its output do not cross.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.struct(*[col.alias(name) for name, col in columns.items()])
+    return df.select(*kept, F.inline(F.array(made)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.facets import add_facts
 from larder.functions.nutrition import barcode_nutrition
+from larder.functions.text import stage
 from larder.operators.quality import route_validated, validate_nutrition
 from larder.operators.skew import skew_join
 
@@ -27,7 +28,7 @@ def next_batch(missing: DataFrame, cap: int = BATCH_CAP) -> DataFrame:
 def enrich_by_upc(missing: DataFrame, barcode_products: DataFrame) -> DataFrame:
     """Worklist joined with the barcode database and parsed; one row per hit."""
     hits = skew_join(missing, barcode_products, "upc")
-    return hits.withColumn("n", barcode_nutrition(F.col("product"), F.col("size_g")))
+    return stage(hits, {"n": barcode_nutrition(F.col("product"), F.col("size_g"))})
 
 
 def enrich_nutrition(missing: DataFrame, barcode_products: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import vocab
 from larder.functions.nutrition import is_complete
-from larder.functions.text import exact_round, lookup, tags_where
+from larder.functions.text import exact_round, lookup, stage, tags_where
 
 # Order in which negative values are reported.
 NON_NEGATIVE = [
@@ -92,7 +92,7 @@ def confidence_score(method: Column, errors: Column, warnings: Column) -> Column
 
 def validate_nutrition(df: DataFrame) -> DataFrame:
     """Adds ``errors``, ``warnings``, ``ok`` and ``confidence`` in one pass over the rows."""
-    checked = df.withColumns({"errors": tags_where(error_rules()), "warnings": tags_where(warning_rules())})
+    checked = stage(df, {"errors": tags_where(error_rules()), "warnings": tags_where(warning_rules())})
     return checked.withColumns(
         {
             "ok": F.size("errors") == 0,

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.operators.filters import FilterSpec
 from larder.oracle import catalog as catalog_sql
 from larder.oracle import payloads as payloads_sql
-from larder.plans import catalog, payloads
+from larder.oracle import text as text_sql
+from larder.plans import catalog, payloads, text
 from larder.sources.adapter import StarCatalog
 
-GROUPS = [catalog.QUERIES, payloads.QUERIES]
-ORACLES = [catalog_sql.ORACLE, payloads_sql.ORACLE]
+GROUPS = [catalog.QUERIES, payloads.QUERIES, text.QUERIES]
+ORACLES = [catalog_sql.ORACLE, payloads_sql.ORACLE, text_sql.ORACLE]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,12 +157,12 @@ class StarCatalog(Catalog):
 
     @cached_property
     def nutrition_candidates(self) -> DataFrame:
-        """Unvalidated nutrition: a product's facts beside each variant's container size, which
-        validation needs."""
-        told = self.table("part").select(F.col("p_partkey").alias("pk")).filter(fx.HAS_NUTRITION)
-        told = told.select("pk", *[F.expr(sql).alias(name) for name, sql in fx.NUTRITION.items()])
-        sized = self.variant_keys.select("variant_id", "pk", F.expr(fx.SIZE_G).alias("size_g"))
-        return sized.join(told, "pk").drop("pk")
+        """Unvalidated nutrition per variant, beside the container size that validation needs."""
+        return self.variant_keys.filter(fx.HAS_NUTRITION).select(
+            "variant_id",
+            F.expr(fx.SIZE_G).alias("size_g"),
+            *[F.expr(sql).alias(name) for name, sql in fx.NUTRITION.items()],
+        )
 
     @cached_property
     def nutrition(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import vocab
-from larder.functions.text import contains_any, first_match
+from larder.functions.text import contains_any, first_match, stage
 from larder.functions.units import is_multipack
 
 FEED_PRODUCT = (
@@ -51,7 +51,7 @@ BARCODE_PRODUCT = (
 
 
 def parse(df: DataFrame, schema: str, name: str = "item", payload: str = "payload") -> DataFrame:
-    return df.withColumn(name, F.from_json(payload, schema))
+    return stage(df, {name: F.from_json(payload, schema)})
 
 
 def _items(pages: DataFrame, path: str, schema: str) -> DataFrame:
@@ -108,7 +108,7 @@ def scan_auction(pages: DataFrame) -> DataFrame:
 def scan_barcodes(lookups: DataFrame) -> DataFrame:
     """Products of successful barcode lookups."""
     body = F.from_json("payload", f"struct<status:int,product:{BARCODE_PRODUCT}>")
-    parsed = lookups.withColumn("_b", body).filter(F.col("_b.status") == 1)
+    parsed = stage(lookups, {"_b": body}).filter(F.col("_b.status") == 1)
     return parsed.select("upc", F.col("_b.product").alias("product"))
 
 
@@ -124,7 +124,7 @@ def unwrap_lookup(df: DataFrame) -> DataFrame:
     item = F.when(is_list, F.try_element_at(listed, F.lit(1))).when(
         single["itemId"].isNotNull(), single
     )
-    return df.withColumn("item", item).filter(F.col("item").isNotNull())
+    return stage(df, {"item": item}).filter(F.col("item").isNotNull())
 
 
 def _text(*parts: Column) -> Column:

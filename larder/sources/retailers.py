@@ -13,7 +13,7 @@ from larder.functions import units, vocab
 from larder.functions.facets import add_facts, classify_category, empty_tags, extract_ingredients
 from larder.functions.identity import slugify
 from larder.functions.market import currency_for_market, marketplace_domain
-from larder.functions.text import STARTS, ENDS, blank_to_null, collapse_ws, contains_any, let, truthy
+from larder.functions.text import STARTS, ENDS, blank_to_null, collapse_ws, contains_any, let, stage, truthy
 from larder.operators.metrics import genuine_markdown
 from larder.sources import feeds
 
@@ -88,10 +88,10 @@ def feed_tags(item: Column) -> Column:
 def stage_feed(df: DataFrame) -> DataFrame:
     """Adds page text, tags text and the product's own nutrition as ``p_*`` columns."""
     item = F.col("item")
-    df = df.withColumns({"text": nut.html_to_text(item["body_html"]), "tags_text": feed_tags(item)})
-    told = F.when(F.col("text") != "", F.col("text"))
-    parsed = nut.parse_nutrition_text(told)
-    return df.withColumns({f"p_{name}": col for name, col in parsed.items()})
+    df = stage(df, {"text": nut.html_to_text(item["body_html"]), "tags_text": feed_tags(item)})
+    df = df.withColumn("told", blank_to_null(F.col("text")))
+    parsed = nut.parse_nutrition_text(F.col("told"))
+    return stage(df, {f"p_{name}": col for name, col in parsed.items()}).drop("told")
 
 
 def _option_position(options: Column, names: list[str]) -> Column:
@@ -132,7 +132,7 @@ def normalize_feed(rows: DataFrame) -> DataFrame:
     item = F.col("item")
     staged = nutrition_feed(staged.filter(item["handle"] != ""))
     staged = add_facts(
-        staged.withColumn("ingredients", extract_ingredients(F.col("text"))), F.col("ingredients"),
+        stage(staged, {"ingredients": extract_ingredients(F.col("text"))}), F.col("ingredients"),
         F.concat(F.col("tags_text"), F.lit(" "), _text_or_empty(item["product_type"])),
     )
     title = F.coalesce(item["title"], item["handle"])
@@ -148,19 +148,20 @@ def normalize_feed(rows: DataFrame) -> DataFrame:
         }
     )
     v = F.col("variant")
-    variants = staged.withColumn("variant", F.explode(item["variants"])).withColumns(
+    variants = stage(
+        staged.withColumn("variant", F.explode(item["variants"])),
         {
             "price_cents": units.cents_from_text(v["price"]),
             "size_label": _option_value(v, F.col("size_at")),
             "compare_at": units.cents_from_text(v["compare_at_price"]),
-        }
+        },
     )
     size = F.coalesce(
         truthy(units.parse_weight_g(F.col("size_label"))),
         truthy(units.parse_weight_g(v["title"])),
         truthy(v["grams"].cast("double")),
     )
-    variants = priced_only(variants).withColumn("size_g", size)
+    variants = stage(priced_only(variants), {"size_g": size})
     servings = nut.fill_servings(
         F.col("p_servings_per_container"),
         [v["title"], v["option1"], v["option2"], F.col("title")],
@@ -205,7 +206,8 @@ def normalize_affiliate(rows: DataFrame, publisher_id: str | None = None) -> Dat
     df = feeds.parse(rows, feeds.AFFILIATE_ITEM) if "item" not in rows.columns else rows
     item = F.col("item")
     sku = item["itemId"].cast("string")
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "title": _first_text(item["name"], sku),
             "price_cents": units.cents_from_number(item["salePrice"]),
@@ -213,10 +215,10 @@ def normalize_affiliate(rows: DataFrame, publisher_id: str | None = None) -> Dat
                 _text_or_empty(item["shortDescription"]), F.lit(" "),
                 _text_or_empty(item["longDescription"]),
             ),
-        }
+        },
     )
     df = priced_only(df.filter(item["itemId"].isNotNull()))
-    df = df.withColumn("ingredients", extract_ingredients(F.col("about")))
+    df = stage(df, {"ingredients": extract_ingredients(F.col("about"))})
     df = add_facts(df, F.col("ingredients"), F.col("about"))
     df = df.withColumn(
         "category_text",
@@ -292,7 +294,8 @@ def stage_marketplace(rows: DataFrame) -> DataFrame:
     about = F.coalesce(F.array_join(d["about_product"], " "), F.lit(""))
     diets = F.transform(F.split(_text_or_empty(info("Diet Type")), ","), lambda s: collapse_ws(s))
     allergen = F.trim(_text_or_empty(info("Allergen Information")))
-    return df.withColumns(
+    return stage(
+        df,
         {
             "title": _first_text(d["product_title"], item["product_title"], item["asin"]),
             "price_cents": units.cents_from_text(_first_text(item["product_price"], d["product_price"])),
@@ -314,7 +317,7 @@ def stage_marketplace(rows: DataFrame) -> DataFrame:
             "n_calories_kcal": F.lit(None).cast("double"),
             "brand_name": F.coalesce(marketplace_brand(d, info), F.lit("Unknown")),
             "weight_text": info("Item Weight"),
-        }
+        },
     )
 
 
@@ -325,7 +328,7 @@ def _number(value: Column) -> Column:
 def normalize_marketplace(rows: DataFrame) -> DataFrame:
     """``rows`` are search items already joined with details (column ``d``)."""
     df = priced_only(stage_marketplace(rows).filter(F.col("item.asin") != ""))
-    df = df.withColumn("ingredients", F.coalesce("listed", extract_ingredients(F.col("about"))))
+    df = stage(df, {"ingredients": F.coalesce("listed", extract_ingredients(F.col("about")))})
     df = add_facts(df, F.col("ingredients"), F.col("labels"), F.col("named"))
     item, d = F.col("item"), F.col("d")
     original = units.cents_from_text(
@@ -367,13 +370,14 @@ def normalize_grocer(rows: DataFrame) -> DataFrame:
     df = df.filter((code != "") & (F.size(F.coalesce(item["items"], F.array())) > 0)).withColumn(
         "unit", F.coalesce(F.try_element_at(priced, F.lit(1)), F.try_element_at(item["items"], F.lit(1)))
     )
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "regular": units.cents_from_number(F.col("unit.price.regular")),
             "promo": units.cents_from_number(F.col("unit.price.promo")),
             "title": _first_text(item["description"], code),
             "size_label": blank_to_null(F.col("unit.size")),
-        }
+        },
     )
     on_sale = (F.col("promo") > 0) & (
         F.col("regular").isNull() | (F.col("regular") == 0) | (F.col("promo") < F.col("regular"))
@@ -454,12 +458,13 @@ def normalize_auction(rows: DataFrame) -> DataFrame:
     """``rows`` are summaries already joined with their barcode (column ``upc``)."""
     df = feeds.parse(rows, feeds.AUCTION_SUMMARY) if "item" not in rows.columns else rows
     item = F.col("item")
-    df = df.filter((item["itemId"] != "") & (item["title"] != "")).withColumns(
+    df = stage(
+        df.filter((item["itemId"] != "") & (item["title"] != "")),
         {
             "price_cents": units.cents_from_text(item["price"]["value"]),
             "original": units.cents_from_text(item["marketingPrice"]["originalPrice"]["value"]),
             "title": item["title"],
-        }
+        },
     )
     df = currency_guard(priced_only(df), item["price"]["currency"])
     return df.withColumn("lower_title", F.lower("title")).select(
@@ -556,31 +561,33 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
 
 
 def normalize_pages(rows: DataFrame) -> DataFrame:
-    df = rows.withColumn("node", pick_node(product_nodes(F.col("html"))))
+    df = stage(rows, {"node": pick_node(product_nodes(F.col("html")))})
     df = df.filter(F.col("node").isNotNull())
     node = F.col("node")
-    df = df.withColumn("offer", pick_offer(node))
+    df = stage(df, {"offer": pick_offer(node)})
     offer = F.col("offer")
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "price_cents": units.cents_from_text(offer_price(offer)),
             "title": _first_text(_get(node, "$.name"), F.col("url")),
             "sku": _first_text(_get(node, "$.sku"), _get(node, "$.productID"), F.col("url")),
             "availability": F.lower(_text_or_empty(_get(offer, "$.availability"))),
             "described": blank_to_null(_get(node, "$.description")),
-        }
+        },
     )
-    df = priced_only(df).withColumns(
+    df = stage(
+        priced_only(df),
         {
             "size_g": units.parse_weight_g(F.col("title")),
             "text": nut.html_to_text(F.coalesce("described", "html")),
             "category_text": F.lower(
                 F.concat("title", F.lit(" "), _text_or_empty(_get(node, "$.category")))
             ),
-        }
+        },
     )
     parsed = nut.parse_nutrition_text(F.col("text"))
-    df = df.withColumns({f"p_{name}": col for name, col in parsed.items()})
+    df = stage(df, {f"p_{name}": col for name, col in parsed.items()})
     servings = nut.fill_servings(
         F.col("p_servings_per_container"), [F.col("title")], F.col("size_g"), F.col("p_serving_size_g")
     )
