@@ -89,9 +89,14 @@ def upsert(
 
 
 def append_price_observations(observations: DataFrame, path: str) -> None:
-    """Append to the history, one folder per capture date so that readers can prune by date."""
-    dated = observations.withColumn("captured_on", F.to_date("captured_at"))
-    dated.write.mode("append").partitionBy("captured_on").parquet(path)
+    """Append to the history, one folder per capture month so that readers can prune by time.
+
+    Rows are range partitioned by (month, key) first: each task writes few folders, and a busy
+    month is spread over several tasks.
+    """
+    dated = observations.withColumn("captured_month", F.trunc("captured_at", "month"))
+    spread = dated.repartitionByRange("captured_month", F.xxhash64("variant_id"))
+    spread.write.mode("append").partitionBy("captured_month").parquet(path)
 
 
 def append_issues(issues: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from larder.functions import vocab
 from larder.oracle import prefix as p
 from larder.oracle.prefix import joined, q, with_keys
@@ -192,9 +194,38 @@ BARCODES = (
 )
 
 
-def _agg(shop: list[str], tag: str, extra: str) -> str:
-    return f"SELECT source_slug, currency, price_cents, upc, {extra} FROM shop"
+# Empty ids meet every detail payload that is keyed by the empty id too.
+MARKET_JOINED = (
+    "joined_items AS (SELECT source_slug, pk, i_brand, i_brand_name, byline, i_maker, i_upc, x_gtin FROM items WHERE asin <> '' UNION ALL "
+    "SELECT i.source_slug, i.pk, d.i_brand, d.i_brand_name, d.byline, d.i_maker, d.i_upc, d.x_gtin FROM items i LEFT JOIN (SELECT "
+    + ", ".join(f"{fx.MARKETPLACE_DETAIL[k]} AS {k}" for k in ("i_brand", "i_brand_name", "byline", "i_maker", "i_upc", "x_gtin"))
+    + " FROM items WHERE asin = '' AND has_d) d ON true WHERE i.asin = '')"
+)
+
+
+def _renamed(ctes: list[str], tag: str) -> list[str]:
+    """CTE texts of one family under names of their own, so that families can share a query."""
+    names = {m for text in ctes for m in re.findall(r"(?:^|\n)(\w+) AS \(", text)}
+    pattern = re.compile(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")(?= AS \(| WHERE|\)|$|,\n| JOIN)")
+    return [pattern.sub(lambda m: f"{tag}_{m.group(1)}", text) for text in ctes]
+
 
+UNION_CTES: list[str] = []
+_PARTS = []
+for _tag, _ctes, _told, _nutri in [
+    ("feed", [*FEED_ALL, f"listed AS (SELECT *, {p.ingredients('text')} AS ing, tags_text || ' ' || product_type AS lab FROM shop)",
+              p.facts_ctes("told", "listed", "ing", "lab")], True, "text <> ''"),
+    ("affiliate", [AFFILIATE, AFFILIATE_SHOP, p.facts_ctes("told", "shop", "ingredients", "about")], True, "false"),
+    ("market", [MARKETPLACE, MARKET_SHOP, p.facts_ctes("told", "shop", "ingredients", "labels", "named")], True,
+     "protein_g IS NOT NULL OR servings_per_container IS NOT NULL"),
+    ("grocer", [GROCER, GROCER_SHOP, p.facts_ctes("told", "shop", "CAST(NULL AS STRING)", "labels", "named")], True, "false"),
+    ("auction", [AUCTION, AUCTION_SHOP], False, "false"),
+    ("page", [PAGE, NODE, PAGE_SHOP], False, "protein_g IS NOT NULL OR serving_size_g IS NOT NULL"),
+]:
+    UNION_CTES += _renamed(_ctes, _tag)
+    _fact = f"variant_id || source_variant_id IN (SELECT variant_id || source_variant_id FROM {_tag}_told)" if _told else "false"
+    _PARTS.append(f"SELECT source_slug, currency, price_cents, upc, {_fact} AS fact, {_nutri} AS nutri FROM {_tag}_shop")
+UNION_CTES.append("all_shops AS (" + " UNION ALL ".join(_PARTS) + ")")
 
 ORACLE: dict[str, str] = {
     "scan_sources": with_keys("SELECT slug, name, type, base_url, market, coalesce(enabled, true) AS enabled FROM sources"),
@@ -282,4 +313,11 @@ ORACLE: dict[str, str] = {
         f"SELECT source_slug, pk, {p.cents(OFFER_PRICE)} AS price_cents, CASE WHEN offer_style <> 3 THEN currency END AS currency FROM items", PAGE
     ),
     "jsonld_brand": with_keys("SELECT source_slug, pk, CASE WHEN brand_style < 2 AND NOT bare THEN brand END AS brand FROM node", PAGE, NODE),
+    "amazon_brand": with_keys(f"SELECT i.source_slug, i.pk, {MARKET_BRAND} AS brand_name FROM joined_items i", MARKETPLACE, MARKET_JOINED),
+    "amazon_upc": with_keys(f"SELECT i.source_slug, i.pk, {MARKET_UPC} AS upc FROM joined_items i", MARKETPLACE, MARKET_JOINED),
+    "union_normalized": with_keys(
+        "SELECT source_slug, currency, count(*) AS variants, CAST(sum(price_cents) AS BIGINT) AS cents, count(upc) AS coded, "
+        "count(*) FILTER (WHERE fact) AS with_facts, count(*) FILTER (WHERE nutri) AS with_nutrition FROM all_shops GROUP BY 1, 2",
+        *UNION_CTES,
+    ),
 }

@@ -96,8 +96,8 @@ def feed_category(cat: StarCatalog) -> DataFrame:
 def nutrition_fallback(cat: StarCatalog) -> DataFrame:
     """Feed nutrition where incomplete rows are filled from another table: here a
     product-level table keyed by handle."""
-    rows = shops.stage_feed(_parsed(landed.feed_items(cat), feeds.FEED_PRODUCT))
-    rows = rows.filter(F.col("item.handle").isNotNull()).withColumn("source_sku", F.col("item.handle"))
+    rows, item = shops.stage_feed(landed.feed_items(cat))
+    rows = rows.filter(item["handle"].isNotNull()).withColumn("source_sku", item["handle"])
     other = cat.variant_keys.select(
         F.concat(F.lit("item-"), F.col("pk").cast("string"), F.lit("-"), F.col("sk").cast("string")).alias("source_sku"),
         (F.lit(30) + F.col("pk") % 5).cast("double").alias("serving_size_g"),

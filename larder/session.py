@@ -23,14 +23,20 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
+_local_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints and working tables; a temporary one only in
+    local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    return tempfile.mkdtemp(prefix="larder-ckpt-")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="larder-"))
+    return _local_folder[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,5 +47,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

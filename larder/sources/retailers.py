@@ -76,22 +76,32 @@ def priced_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("price_cents") > 0)
 
 
+def _unpacked(df: DataFrame, schema: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Parses the payload and lays its fields out as plain ``i_*`` columns, so later steps prune
+    and filter on columns instead of reaching into one struct."""
+    parsed = df if "item" in df.columns else feeds.parse(df, schema)
+    names = parsed.schema["item"].dataType.names
+    fields = [F.col(f"item.{name}").alias(f"i_{name}") for name in names]
+    kept = [c for c in parsed.columns if c != "item"]
+    return parsed.select(*kept, *fields), {name: F.col(f"i_{name}") for name in names}
+
+
 # ---- Storefront feed ---------------------------------------------------------------------------
 
 
-def feed_tags(item: Column) -> Column:
+def feed_tags(item) -> Column:
     """Tags as one text; they arrive as a list or as a string."""
     listed = F.array_join(F.from_json(item["tags"], "array<string>"), " ")
     return F.when(item["tags"].startswith("["), listed).otherwise(_text_or_empty(item["tags"]))
 
 
-def stage_feed(df: DataFrame) -> DataFrame:
-    """Adds page text, tags text and the product's own nutrition as ``p_*`` columns."""
-    item = F.col("item")
+def stage_feed(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Product fields, page text, tags text and the product's own nutrition as ``p_*`` columns."""
+    df, item = _unpacked(rows, feeds.FEED_PRODUCT)
     df = stage(df, {"text": nut.html_to_text(item["body_html"]), "tags_text": feed_tags(item)})
     df = df.withColumn("told", blank_to_null(F.col("text")))
     parsed = nut.parse_nutrition_text(F.col("told"))
-    return stage(df, {f"p_{name}": col for name, col in parsed.items()}).drop("told")
+    return stage(df, {f"p_{name}": col for name, col in parsed.items()}).drop("told"), item
 
 
 def _option_position(options: Column, names: list[str]) -> Column:
@@ -128,8 +138,7 @@ def nutrition_feed(df: DataFrame, fallback: DataFrame | None = None, key: str =
 
 
 def normalize_feed(rows: DataFrame) -> DataFrame:
-    staged = stage_feed(feeds.parse(rows, feeds.FEED_PRODUCT) if "item" not in rows.columns else rows)
-    item = F.col("item")
+    staged, item = stage_feed(rows)
     staged = nutrition_feed(staged.filter(item["handle"] != ""))
     staged = add_facts(
         stage(staged, {"ingredients": extract_ingredients(F.col("text"))}), F.col("ingredients"),
@@ -203,8 +212,7 @@ def join_lookup(items: DataFrame, lookups: DataFrame) -> DataFrame:
 
 
 def normalize_affiliate(rows: DataFrame, publisher_id: str | None = None) -> DataFrame:
-    df = feeds.parse(rows, feeds.AFFILIATE_ITEM) if "item" not in rows.columns else rows
-    item = F.col("item")
+    df, item = _unpacked(rows, feeds.AFFILIATE_ITEM)
     sku = item["itemId"].cast("string")
     df = stage(
         df,
@@ -288,8 +296,8 @@ def marketplace_upc(details: Column) -> Column:
 
 
 def stage_marketplace(rows: DataFrame) -> DataFrame:
-    item, d = F.col("item"), F.col("d")
-    df = feeds.parse(rows, feeds.MARKETPLACE_ITEM) if "item" not in rows.columns else rows
+    d = F.col("d")
+    df, item = _unpacked(rows, feeds.MARKETPLACE_ITEM)
     info = lambda name: F.try_element_at(d["product_information"], F.lit(name))
     about = F.coalesce(F.array_join(d["about_product"], " "), F.lit(""))
     diets = F.transform(F.split(_text_or_empty(info("Diet Type")), ","), lambda s: collapse_ws(s))
@@ -327,10 +335,11 @@ def _number(value: Column) -> Column:
 
 def normalize_marketplace(rows: DataFrame) -> DataFrame:
     """``rows`` are search items already joined with details (column ``d``)."""
-    df = priced_only(stage_marketplace(rows).filter(F.col("item.asin") != ""))
+    df = priced_only(stage_marketplace(rows).filter(F.col("i_asin") != ""))
     df = stage(df, {"ingredients": F.coalesce("listed", extract_ingredients(F.col("about")))})
     df = add_facts(df, F.col("ingredients"), F.col("labels"), F.col("named"))
-    item, d = F.col("item"), F.col("d")
+    d = F.col("d")
+    item = {name: F.col(f"i_{name}") for name in ("asin", "product_original_price", "product_url")}
     original = units.cents_from_text(
         _first_text(item["product_original_price"], d["product_original_price"])
     )
@@ -363,8 +372,7 @@ def normalize_marketplace(rows: DataFrame) -> DataFrame:
 
 
 def normalize_grocer(rows: DataFrame) -> DataFrame:
-    df = feeds.parse(rows, feeds.GROCER_ITEM) if "item" not in rows.columns else rows
-    item = F.col("item")
+    df, item = _unpacked(rows, feeds.GROCER_ITEM)
     code = item["productId"]
     priced = F.filter(item["items"], lambda i: i["price"]["regular"] != 0)
     df = df.filter((code != "") & (F.size(F.coalesce(item["items"], F.array())) > 0)).withColumn(
@@ -456,8 +464,7 @@ def currency_guard(df: DataFrame, currency: Column) -> DataFrame:
 
 def normalize_auction(rows: DataFrame) -> DataFrame:
     """``rows`` are summaries already joined with their barcode (column ``upc``)."""
-    df = feeds.parse(rows, feeds.AUCTION_SUMMARY) if "item" not in rows.columns else rows
-    item = F.col("item")
+    df, item = _unpacked(rows, feeds.AUCTION_SUMMARY)
     df = stage(
         df.filter((item["itemId"] != "") & (item["title"] != "")),
         {
