@@ -194,15 +194,6 @@ BARCODES = (
 )
 
 
-# Empty ids meet every detail payload that is keyed by the empty id too.
-MARKET_JOINED = (
-    "joined_items AS (SELECT source_slug, pk, i_brand, i_brand_name, byline, i_maker, i_upc, x_gtin FROM items WHERE asin <> '' UNION ALL "
-    "SELECT i.source_slug, i.pk, d.i_brand, d.i_brand_name, d.byline, d.i_maker, d.i_upc, d.x_gtin FROM items i LEFT JOIN (SELECT "
-    + ", ".join(f"{fx.MARKETPLACE_DETAIL[k]} AS {k}" for k in ("i_brand", "i_brand_name", "byline", "i_maker", "i_upc", "x_gtin"))
-    + " FROM items WHERE asin = '' AND has_d) d ON true WHERE i.asin = '')"
-)
-
-
 def _renamed(ctes: list[str], tag: str) -> list[str]:
     """CTE texts of one family under names of their own, so that families can share a query."""
     names = {m for text in ctes for m in re.findall(r"(?:^|\n)(\w+) AS \(", text)}
@@ -287,14 +278,9 @@ ORACLE: dict[str, str] = {
         f"SELECT source_slug, source_variant_id, {NUTRITION} FROM shop WHERE protein_g IS NOT NULL OR serving_size_g IS NOT NULL", PAGE, NODE, PAGE_SHOP
     ),
     "join_amazon_details": with_keys(
-        "SELECT source_slug, pk, has_d AND asin <> '' AS has_details, d_title AS detail_title FROM items WHERE asin <> '' UNION ALL "
-        "SELECT i.source_slug, i.pk, d.pk IS NOT NULL, d.full_title FROM items i LEFT JOIN (SELECT pk, sk, "
-        + fx.MARKETPLACE_DETAIL["d_title"] + " AS full_title FROM items WHERE asin = '' AND has_d) d ON true WHERE i.asin = ''", MARKETPLACE
-    ),
-    "join_ebay_item": with_keys(
-        f"SELECT source_slug, pk, item_id, {GTIN} AS upc FROM items WHERE item_id <> '' UNION ALL SELECT i.source_slug, i.pk, '', d.upc FROM items i LEFT JOIN (SELECT "
-        + GTIN.replace("has_item AND item_id <> ''", "true") + " AS upc FROM items WHERE item_id = '' AND has_item) d ON true WHERE i.item_id = ''", AUCTION
+        "SELECT source_slug, pk, has_d AND asin <> '' AS has_details, d_title AS detail_title FROM items", MARKETPLACE
     ),
+    "join_ebay_item": with_keys(f"SELECT source_slug, pk, item_id, {GTIN} AS upc FROM items", AUCTION),
     "ebay_gtin": with_keys("SELECT item_id, " + GTIN.replace("has_item AND item_id <> ''", "true") + " AS upc FROM items WHERE has_item", AUCTION),
     "category_shopify": with_keys(
         f"SELECT source_slug, pk * 1000 + sk AS id, {p.category('t')} AS category FROM (SELECT *, lower(title || ' ' || product_type || ' ' || CASE WHEN tag_style = 0 THEN tag_a || ' ' || tag_b ELSE tag_a || ', ' || tag_b END) AS t FROM items)", FEED
@@ -313,8 +299,8 @@ ORACLE: dict[str, str] = {
         f"SELECT source_slug, pk, {p.cents(OFFER_PRICE)} AS price_cents, CASE WHEN offer_style <> 3 THEN currency END AS currency FROM items", PAGE
     ),
     "jsonld_brand": with_keys("SELECT source_slug, pk, CASE WHEN brand_style < 2 AND NOT bare THEN brand END AS brand FROM node", PAGE, NODE),
-    "amazon_brand": with_keys(f"SELECT i.source_slug, i.pk, {MARKET_BRAND} AS brand_name FROM joined_items i", MARKETPLACE, MARKET_JOINED),
-    "amazon_upc": with_keys(f"SELECT i.source_slug, i.pk, {MARKET_UPC} AS upc FROM joined_items i", MARKETPLACE, MARKET_JOINED),
+    "amazon_brand": with_keys(f"SELECT i.source_slug, i.pk, {MARKET_BRAND} AS brand_name FROM items i", MARKETPLACE),
+    "amazon_upc": with_keys(f"SELECT i.source_slug, i.pk, {MARKET_UPC} AS upc FROM items i", MARKETPLACE),
     "union_normalized": with_keys(
         "SELECT source_slug, currency, count(*) AS variants, CAST(sum(price_cents) AS BIGINT) AS cents, count(upc) AS coded, "
         "count(*) FILTER (WHERE fact) AS with_facts, count(*) FILTER (WHERE nutri) AS with_nutrition FROM all_shops GROUP BY 1, 2",

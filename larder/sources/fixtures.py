@@ -240,7 +240,7 @@ GROCER = {
 }
 
 AUCTION = {
-    "item_id": "CASE WHEN pk % 43 = 0 THEN '' ELSE 'v1|' || CAST(pk AS STRING) || CAST(sk AS STRING) || '|0' END",
+    "item_id": "CASE WHEN pk % 43 = 0 THEN '' ELSE 'v1|' || CAST(pk AS STRING) || '-' || CAST(sk AS STRING) || '|0' END",
     "title": TITLE,
     "brand": f"CASE WHEN pk % 3 = 0 THEN CAST(NULL AS STRING) ELSE ' ' || {TITLE_BRAND} END",
     "price": "CASE WHEN pk % 17 = 0 THEN CAST(NULL AS STRING) ELSE " + MONEY.format(a="20 + (pk + sk) % 60", b="(pk * 3) % 100") + " END",

@@ -260,12 +260,20 @@ def normalize_affiliate(rows: DataFrame, publisher_id: str | None = None) -> Dat
 # ---- Marketplace search with details -----------------------------------------------------------
 
 
+def one_per_id(details: DataFrame, key: str) -> DataFrame:
+    """One detail payload per real id. Items without an id are never looked up, and a payload
+    landed twice must not multiply its item."""
+    return details.filter(F.col(key) != "").groupBy(key).agg(F.max("payload").alias("payload"))
+
+
 def join_details(items: DataFrame, details: DataFrame | None) -> DataFrame:
     """Search items with their details where there are any; details may be switched off."""
     typed = feeds.MARKETPLACE_DETAIL
     if details is None:
         return items.withColumn("d", F.lit(None).cast(typed))
-    body = details.select("asin", F.from_json("payload", f"struct<data:{typed}>")["data"].alias("d"))
+    body = one_per_id(details, "asin").select(
+        "asin", F.from_json("payload", f"struct<data:{typed}>")["data"].alias("d")
+    )
     return items.join(body, "asin", "left")
 
 
@@ -452,7 +460,9 @@ def auction_gtin(item: Column) -> Column:
 
 def join_item(items: DataFrame, details: DataFrame) -> DataFrame:
     """Summaries with the barcode of their item, where there is one."""
-    body = details.select("item_id", auction_gtin(F.from_json("payload", feeds.AUCTION_ITEM)).alias("upc"))
+    body = one_per_id(details, "item_id").select(
+        "item_id", auction_gtin(F.from_json("payload", feeds.AUCTION_ITEM)).alias("upc")
+    )
     return items.join(body, "item_id", "left")
 
 
