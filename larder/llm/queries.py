@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from larder.llm import credential_links, mixture, quality_cascade, slots
+from larder.llm import bpe_fst, credential_links, mixture, quality_cascade, simple8b, slots
 
 QUERIES = {
     "op4_quality_cascade": quality_cascade.query,
+    "op5_bpe_transducer": bpe_fst.query,
     "op7_credential_links": credential_links.query,
+    "op8_simple8b_ids": simple8b.query,
     "op9_source_mixture": mixture.query,
     "op10_virtual_slots": slots.query,
 }
