@@ -33,7 +33,7 @@ from larder.llm.chunks import ChunkMemo, encode_text, id_lists
 from larder.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES = 150_000
+STATES = 80_000
 CHUNK_IDS = 8192
 NEVER = 1 << 60
 START, KEY = -1, -1  # no token yet; a state's own entry beside its steps by byte

@@ -7,24 +7,37 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 48
+CLOSING = (",", ".")
 
 
 class ChunkMemo(dict):
-    """Remembers the ids (int32 bytes) of short chunks; emptied when full, so its size is bounded.
+    """Remembers the ids (int32 bytes) of short chunks, in two generations of bounded size.
 
-    ``lead`` is put before the key to get the chunk that is encoded.
+    When the young one is full it becomes the old one, whose entries come back when asked for; so
+    frequent chunks stay and rare ones go. ``lead`` is put before the key to get the chunk.
     """
 
     def __init__(self, encode: Callable[[str], bytes], lead: str = ""):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.old, self.marks = encode, lead, {}, {}
+
+    def mark(self, sign: str) -> bytes:
+        ids = self.marks.get(sign)
+        if ids is None:
+            ids = self.marks[sign] = self.encode(sign)
+        return ids
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.encode(self.lead + key)
+        if key[-1:] in CLOSING and key[:-1].isalpha():  # the pattern parts letters from a mark
+            return self[key[:-1]] + self.mark(key[-1])
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(self.lead + key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = ids
         return ids
@@ -46,16 +59,13 @@ def encode_text(text: str, bare: ChunkMemo, spaced: ChunkMemo) -> bytes:
     if not plain_spaces(text):
         return bare.encode(text)
     out = []
-    feed = None
+    feed = bare["\n"]
     for line in text.split("\n"):
-        if feed is None:
-            feed = bare["\n"]
-        else:
-            out.append(feed)
         first, *rest = line.split(" ")
         out.append(bare[first])
         out.extend(map(spaced.__getitem__, rest))
-    return b"".join(out)
+        out.append(feed)
+    return b"".join(out[:-1])
 
 
 def id_lists(parts: Iterable[bytes]) -> pa.ListArray:

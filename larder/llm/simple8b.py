@@ -44,30 +44,35 @@ FILE_SCHEMA = (
 )
 
 
+def _widest(known: dict[int, np.ndarray], count: int) -> np.ndarray:
+    """The greatest of each ``count`` values in a row, from two overlapping shorter runs."""
+    if count not in known:
+        half = (count + 1) // 2
+        run = _widest(known, half)
+        out = run.copy()
+        shift = count - half
+        if shift < len(run):
+            np.maximum(run[:-shift], run[shift:], out=out[:-shift])
+        known[count] = out
+    return known[count]
+
+
 def pack(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of consecutive documents -> the words, and the word offset of each document.
 
-    Greedy: each word takes the most ids that fit. How far each width reaches from each place is
-    found for all places at once; only the walk from word to word is a loop.
+    Greedy: each word takes the most ids that fit. Which selectors fit at each place is found for
+    all places at once; only the walk from word to word is a loop.
     """
     ids = ids.astype(np.uint64)
     n = len(ids)
     ends = np.cumsum(lens)
-    doc_end = np.repeat(ends, lens)
-    bits = np.frexp(ids.astype(np.float64))[1]
-    at = np.arange(n)
-    take = np.zeros(n, dtype=np.int64)
+    room = np.minimum(np.repeat(ends, lens) - np.arange(n), 255).astype(np.uint8)
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    widest = {1: bits}  # over that many ids from each place on; places near the end lack room
     selector = np.zeros(n, dtype=np.uint8)
-    most = int(bits.max()) if n else 0
     for s in range(15, 1, -1):  # wide to narrow: the last that fits holds the most
-        if s < 15 and s > 2 and WIDTHS[s - 1] >= most:
-            continue
-        reach = np.where(bits > WIDTHS[s], at, n)
-        reach = np.minimum(np.minimum.accumulate(reach[::-1])[::-1], doc_end)
-        fits = (reach - at >= COUNTS[s]) | ((reach == doc_end) & (reach > at))
-        take[fits] = np.minimum(COUNTS[s], doc_end - at)[fits]
-        selector[fits] = s
-    take[take == 0] = 1  # escape
+        selector[(_widest(widest, COUNTS[s]) <= WIDTHS[s]) & (room >= COUNTS[s])] = s
+    take = np.array(COUNTS)[selector]
     hops, starts, first = take.tolist(), [], []
     i = 0
     for end in ends.tolist():
@@ -77,18 +82,16 @@ def pack(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             i += hops[i]
     starts = np.array(starts, dtype=np.int64)
     chosen = selector[starts]
-    room = 1 + (chosen == 0)
-    place = np.cumsum(room) - room
-    words = np.zeros(int(room.sum()), dtype=np.uint64)
-    padded = np.concatenate([ids, np.zeros(64, dtype=np.uint64)])
+    used = 1 + (chosen == 0)
+    place = np.cumsum(used) - used
+    words = np.zeros(int(used.sum()), dtype=np.uint64)
     for s in np.unique(chosen).tolist():
         mine = chosen == s
         if s == 0:
             words[place[mine] + 1] = ids[starts[mine]]
             continue
         k = np.arange(COUNTS[s])
-        grid = padded[starts[mine][:, None] + k]
-        grid[k >= take[starts[mine]][:, None]] = 0
+        grid = ids[starts[mine][:, None] + k]
         packed = np.bitwise_or.reduce(grid << (k * WIDTHS[s]).astype(np.uint64), axis=1)
         words[place[mine]] = packed | (np.uint64(s) << np.uint64(60))
     place = np.append(place, len(words))
