@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe_fst, credential_links, mixture, quality_cascade, simple8b, slots
+from larder.llm import bpe_fst, credential_links, mixture, ngram_join, quality_cascade, simple8b, slots
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op4_quality_cascade": quality_cascade.query,
     "op5_bpe_transducer": bpe_fst.query,
     "op7_credential_links": credential_links.query,
