@@ -3,8 +3,11 @@
 1. Each text becomes its set of distinct shingles, as 64-bit hashes. Equal sets share one node.
 2. Trees need small, complete neighbourhoods. Two sets that link differ in at most a ninth of the
    smaller one's shingles, so when shingles are dealt by hash into more parts than that, some part
-   is equal in both. Sets that share an equal part, directly or through others, form a
-   neighbourhood: no link leaves one.
+   is equal in both. Below ``PARTS_FROM`` percent the parts would be too small to tell texts apart;
+   there, the shingles come in one order, frequent ones last, and sets that link share one of their
+   first ones (prefix filter). Sets that share a part or a first shingle, directly or through
+   others, form a neighbourhood: no link leaves one. The order only decides how large
+   neighbourhoods get, so it may come from a share of the texts.
 3. In a neighbourhood, a signature tree holds at each node the OR and AND of its token bitmaps and
    its range of sizes. Two trees are walked together; a pair of nodes is dropped when its greatest
    possible overlap cannot reach the threshold, or when all its documents are in one component
@@ -37,6 +40,9 @@ from larder.llm.components import connected
 
 BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
+PARTS_FROM = 90
+ORDER_SHARE = 4  # one in so many texts is counted for the order
+COMMON = 2_000_000  # at most so many shingles are put last
 LEAF = 16
 FANOUT = 8
 WORD_MEMO = 300_000
@@ -131,8 +137,39 @@ def _tools(size: int, percent: int) -> tuple[Shingler, Bands]:
     return Shingler(size), Bands(percent)
 
 
+def common_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """The frequent shingles, sorted. Counts sum to the total, so no more than ``COMMON`` can have
+    a share of 1 / ``COMMON`` of it."""
+
+    def run(batches):
+        shingles, _ = _tools(size, percent)
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64))})
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0).select("text")
+    counts = stored(some.mapInArrow(run, "h long").groupBy("h").count().filter("count > 1"), "shingle-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    found = counts.filter(F.col("count") * COMMON >= F.lit(total)).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def first_shingles(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first of the set in the order: as many as a linked set can lack, and one more."""
+    take = len(s) - (percent * len(s) + 99) // 100 + 1
+    if not len(common):
+        return s[:take]
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    last = common[at] == s
+    return np.concatenate([s[~last], s[last]])[:take]
+
+
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text) -> ``doc_id, n_shingles, d1, d2, sigs``; d1 and d2 identify the set."""
+    common = None
+    if percent < PARTS_FROM:
+        common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, percent))
 
     def run(batches):
         shingles, bands = _tools(size, percent)
@@ -144,7 +181,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n.append(len(s))
                 d1.append(digest[0])
                 d2.append(digest[1])
-                sigs.append(bands.signatures(s))
+                sigs.append(bands.signatures(s) if common is None else first_shingles(s, common.value, percent) if len(s) else s)
             ends = np.cumsum([0] + [len(x) for x in sigs]).astype(np.int32)
             flat = np.concatenate([*sigs, np.zeros(0, dtype=np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
