@@ -4,10 +4,9 @@
 2. Trees need small, complete neighbourhoods. Two sets that link differ in at most a ninth of the
    smaller one's shingles, so when shingles are dealt by hash into more parts than that, some part
    is equal in both. Below ``PARTS_FROM`` percent the parts would be too small to tell texts apart;
-   there, the shingles come in one order, frequent ones last, and sets that link share one of their
+   there, the shingles come in one order, those of several texts last, and sets that link share one of their
    first ones (prefix filter). Sets that share a part or a first shingle, directly or through
-   others, form a neighbourhood: no link leaves one. The order only decides how large
-   neighbourhoods get, so it may come from a share of the texts.
+   others, form a neighbourhood: no link leaves one.
 3. In a neighbourhood, a signature tree holds at each node the OR and AND of its token bitmaps and
    its range of sizes. Two trees are walked together; a pair of nodes is dropped when its greatest
    possible overlap cannot reach the threshold, or when all its documents are in one component
@@ -41,8 +40,7 @@ from larder.llm.components import connected
 BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
 PARTS_FROM = 90
-ORDER_SHARE = 4  # one in so many texts is counted for the order
-COMMON = 2_000_000  # at most so many shingles are put last
+TABLE_BITS, CHUNK_BITS = 28, 15  # 32 MB of marks, in chunks of 4 KB
 LEAF = 16
 FANOUT = 8
 WORD_MEMO = 300_000
@@ -137,39 +135,56 @@ def _tools(size: int, percent: int) -> tuple[Shingler, Bands]:
     return Shingler(size), Bands(percent)
 
 
-def common_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
-    """The frequent shingles, sorted. Counts sum to the total, so no more than ``COMMON`` can have
-    a share of 1 / ``COMMON`` of it."""
+def shared_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """A bit table of fixed size that marks the shingles of more than one text.
+
+    All texts are counted. Its size doesn't grow: a fuller table marks more shingles that only one
+    text has, which then come late in the order; that costs time, never a link.
+    """
 
     def run(batches):
         shingles, _ = _tools(size, percent)
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64))})
-
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0).select("text")
-    counts = stored(some.mapInArrow(run, "h long").groupBy("h").count().filter("count > 1"), "shingle-counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    found = counts.filter(F.col("count") * COMMON >= F.lit(total)).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
-    return np.sort(found.view(np.uint64))
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"h": pa.array(shingles(text.as_py()).view(np.int64))})
 
-
-def first_shingles(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    def table(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits = batch.column(0).to_numpy()
+            order = np.argsort(bits)
+            bits = bits[order]
+            chunks, firsts = np.unique(bits >> CHUNK_BITS, return_index=True)
+            for chunk, part in zip(chunks.tolist(), np.split(bits, firsts[1:]), strict=True):
+                row = held.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=bool))
+                row[part & ((1 << CHUNK_BITS) - 1)] = True
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array(list(held), pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())})
+
+    counts = docs.select("text").mapInArrow(run, "h long").groupBy("h").count().filter("count > 1")
+    marked = counts.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("bit"))
+    dealt = marked.repartition(F.shiftright("bit", CHUNK_BITS)).mapInArrow(table, "chunk long, bits binary")
+    out = np.zeros((1 << (TABLE_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), dtype=np.uint8)
+    for row in dealt.toLocalIterator():  # the table's own size in all, one chunk a row
+        out[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def first_shingles(s: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
     """The first of the set in the order: as many as a linked set can lack, and one more."""
     take = len(s) - (percent * len(s) + 99) // 100 + 1
-    if not len(common):
-        return s[:take]
-    at = np.searchsorted(common, s)
-    at[at == len(common)] = 0
-    last = common[at] == s
-    return np.concatenate([s[~last], s[last]])[:take]
+    bit = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    last = (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    first = np.concatenate([s[~last], s[last]])[:take]
+    # what only one text has meets nothing: it fills its place in the order and need not be sent
+    return first[min(take, int((~last).sum())):]
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text) -> ``doc_id, n_shingles, d1, d2, sigs``; d1 and d2 identify the set."""
     common = None
     if percent < PARTS_FROM:
-        common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, percent))
+        common = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, size, percent))
 
     def run(batches):
         shingles, bands = _tools(size, percent)
