@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.chunks import ChunkMemo, encode_text, id_lists
-from larder.llm.common import documents
+from larder.llm.common import documents, worker_tool
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 STATES = 80_000
@@ -221,8 +221,11 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> tuple[ChunkMemo, ChunkMemo]:
+    return worker_tool(("byte pairs", path, pattern), lambda: _new_encoder(path, pattern))
+
+
+def _new_encoder(path: str, pattern: str) -> tuple[ChunkMemo, ChunkMemo]:
     machine = Transducer(read_ranks(path))
     pieces = regex.compile(pattern).findall
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_worker_tool: dict[Hashable, object] = {}
+
+
+def worker_tool(key: Hashable, build: Callable[[], object]) -> object:
+    """The one large helper that a Python worker keeps between tasks.
+
+    Workers outlive the tasks of an operator; the first task of another one drops what it left.
+    """
+    if key not in _worker_tool:
+        _worker_tool.clear()
+        _worker_tool[key] = build()
+    return _worker_tool[key]
+
+
 def words(text: Column) -> Column:
     """The words of ``text``; none for a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, stored
+from larder.llm.common import documents, stored, worker_tool
 from larder.llm.components import connected
 
 BLOCK = 1024
@@ -43,7 +42,7 @@ PARTS_FROM = 90
 TABLE_BITS, CHUNK_BITS = 28, 15  # 32 MB of marks, in chunks of 4 KB
 LEAF = 16
 FANOUT = 8
-WORD_MEMO = 300_000
+WORD_MEMO = 100_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -130,9 +129,10 @@ class Bands:
         return np.concatenate(out)
 
 
-@lru_cache(maxsize=4)
 def _tools(size: int, percent: int) -> tuple[Shingler, Bands]:
-    return Shingler(size), Bands(percent)
+    shingles, bands = worker_tool(("shingles", size, percent), lambda: (Shingler(size), Bands(percent)))
+    shingles.memo.clear()  # a task's words are soon hashed again; idle workers should hold none
+    return shingles, bands
 
 
 def shared_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
