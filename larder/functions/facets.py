@@ -14,7 +14,6 @@ INGREDIENTS = (
     rf"(?is)ingredients?{WS}*[:\-]?{WS}*(.+?)"
     rf"(?:\.{WS}|\n\n|allergen|contains:|directions|suggested use|$)"
 )
-MAX_INGREDIENTS = 1200
 FACT_FIELDS = ["ingredients_text", "dietary_labels", "allergens", "sweeteners"]
 
 
@@ -48,15 +47,14 @@ def scan_sweeteners(lower_text: Column) -> Column:
     return scan(lower_text, vocab.SWEETENERS)
 
 
-def extract_ingredients(text: Column) -> Column:
-    """The ingredient list inside a description: a comma list of bounded length, else null."""
+def extract_ingredients(text: Column, longest: int | None = None) -> Column:
+    """The ingredient list inside a description: a comma list, with ``longest`` only up to that many
+    characters, else null."""
     section = F.regexp_replace(
         collapse_ws(F.regexp_extract(text, INGREDIENTS, 1)), r"^[ .,;]+|[ .,;]+$", ""
     )
-    return let(
-        section,
-        lambda s: F.when(F.contains(s, F.lit(",")) & (F.length(s) <= MAX_INGREDIENTS), s),
-    )
+    fits = (lambda s: F.length(s) <= longest) if longest else (lambda s: F.lit(True))
+    return let(section, lambda s: F.when(F.contains(s, F.lit(",")) & fits(s), s))
 
 
 def add_facts(

@@ -11,8 +11,6 @@ from larder.functions.text import stage
 from larder.operators.quality import route_validated, validate_nutrition
 from larder.operators.skew import skew_join
 
-BATCH_CAP = 1000
-
 
 def variants_missing(variants: DataFrame, having: DataFrame) -> DataFrame:
     """Variants with a barcode and no row in ``having``."""
@@ -20,14 +18,19 @@ def variants_missing(variants: DataFrame, having: DataFrame) -> DataFrame:
     return coded.join(having.select("variant_id"), "variant_id", "left_anti")
 
 
-def next_batch(missing: DataFrame, cap: int = BATCH_CAP) -> DataFrame:
-    """The capped worklist of one pass, in id order so that a rerun takes the same rows."""
-    return missing.orderBy("variant_id").limit(cap)
+def next_batch(missing: DataFrame, cap: int | None = None) -> DataFrame:
+    """The worklist of one pass: all of it, or the first ``cap`` in id order."""
+    return missing if cap is None else missing.orderBy("variant_id").limit(cap)
+
+
+def one_per_barcode(barcode_products: DataFrame) -> DataFrame:
+    """A lookup landed twice must not multiply its variants; of different ones one stays, always the same."""
+    return barcode_products.groupBy("upc").agg(F.max_by("product", F.to_json("product")).alias("product"))
 
 
 def enrich_by_upc(missing: DataFrame, barcode_products: DataFrame) -> DataFrame:
     """Worklist joined with the barcode database and parsed; one row per hit."""
-    hits = skew_join(missing, barcode_products, "upc")
+    hits = skew_join(missing, one_per_barcode(barcode_products), "upc")
     return stage(hits, {"n": barcode_nutrition(F.col("product"), F.col("size_g"))})
 
 
@@ -49,7 +52,7 @@ def barcode_facts(hits: DataFrame) -> DataFrame:
 
 
 def enrich_facts(missing: DataFrame, barcode_products: DataFrame) -> DataFrame:
-    hits = skew_join(missing, barcode_products, "upc")
+    hits = skew_join(missing, one_per_barcode(barcode_products), "upc")
     told = barcode_facts(hits).filter(F.col("facts").isNotNull())
     return told.select("variant_id", "facts.*")
 

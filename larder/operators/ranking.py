@@ -9,7 +9,6 @@ from larder.operators.filters import FilterSpec
 from larder.session import cut_lineage
 
 PAGE_SIZE = 50
-LIST_CAP = 200
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -24,7 +23,7 @@ def rank_by_metric(df: DataFrame, spec: FilterSpec) -> DataFrame:
     return df.orderBy(*rank_order(spec))
 
 
-def top_listings(df: DataFrame, spec: FilterSpec, take: int = LIST_CAP) -> DataFrame:
+def top_listings(df: DataFrame, spec: FilterSpec, take: int) -> DataFrame:
     return rank_by_metric(df, spec).limit(take)
 
 

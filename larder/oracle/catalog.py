@@ -42,11 +42,11 @@ UK = grid("UK", "protein_per_dollar", True, True)
 US_MATCH = "SELECT * FROM offers WHERE market = 'US' AND protein_per_dollar IS NOT NULL"
 
 
-def rank_page(column: str, better: bool, needs: bool, order: str) -> str:
+def rank_all(column: str, better: bool, needs: bool, order: str) -> str:
     descending = better if order == "best" else not better
     extra = "" if column == "price_cents" else f", {column}"
     return with_catalog(
-        f"SELECT {PAGE}{extra} FROM grid WHERE rank <= 50", grid("US", column, descending, needs)
+        f"SELECT {PAGE}{extra}, rank FROM grid", grid("US", column, descending, needs)
     )
 
 
@@ -131,7 +131,7 @@ ORACLE: dict[str, str] = {
         "SELECT variant_id, upc FROM variants WHERE upc IS NOT NULL AND variant_id NOT IN (SELECT variant_id FROM facts)"
     ),
     "enrichment_batch": with_catalog(
-        "SELECT variant_id, upc, size_g FROM variants WHERE upc IS NOT NULL AND variant_id NOT IN (SELECT variant_id FROM nutrition) ORDER BY variant_id LIMIT 1000"
+        "SELECT variant_id, upc, size_g FROM variants WHERE upc IS NOT NULL AND variant_id NOT IN (SELECT variant_id FROM nutrition)"
     ),
     "history_for_variants": with_catalog(
         "SELECT variant_id, price_cents, captured_at FROM prices WHERE variant_id IN (SELECT variant_id FROM variants WHERE flavor = 'Vanilla')"
@@ -187,7 +187,7 @@ ORACLE: dict[str, str] = {
         POSITIONED,
     ),
     **{
-        f"rank_by_metric_{c}_{order}": rank_page(c, better, needs, order)
+        f"rank_by_metric_{c}_{order}": rank_all(c, better, needs, order)
         for c, better, needs in METRICS
         for order in ("best", "worst")
     },

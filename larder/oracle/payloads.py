@@ -240,7 +240,7 @@ ORACLE: dict[str, str] = {
     "scan_off_products": "WITH " + BARCODES + " SELECT upc, serving_size, label_tag AS labels, product_quantity FROM barcodes",
     "to_float": with_keys("SELECT pk, sk, TRY_CAST(feedback AS DOUBLE) AS feedback FROM items", AUCTION),
     "sitemap_urls": f"WITH {SITES} SELECT site, CAST(pos AS INTEGER) AS pos, url FROM sites WHERE regexp_matches(url, 'page=[0-9]+')",
-    "page_url_set": f"WITH {SITES},\n{URLS} SELECT {URL_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY part, pos, url) AS rn FROM firsts) WHERE rn <= 200",
+    "page_url_set": f"WITH {SITES},\n{URLS} SELECT {URL_COLUMNS} FROM firsts",
     "url_concat_dedupe": f"WITH {SITES},\n{URLS} SELECT {URL_COLUMNS} FROM firsts",
     "changed_content": f"SELECT doc_id, {BYTES} AS content_hash FROM documents WHERE lang = 'fr'",
     "powder_filter_shopify": powder(FEED, "pk * 1000 + sk", POWDER_FEED),

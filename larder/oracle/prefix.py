@@ -136,7 +136,7 @@ INGREDIENT_SECTION = (
 
 def ingredients(x: str) -> str:
     section = f"trim({collapse(f'regexp_extract({x}, {q(INGREDIENT_SECTION)}, 1)')}, ' .,;')"
-    return f"CASE WHEN contains({section}, ',') AND length({section}) <= 1200 THEN {section} END"
+    return f"CASE WHEN contains({section}, ',') THEN {section} END"
 
 
 MARKUP = (

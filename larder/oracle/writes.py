@@ -53,5 +53,8 @@ ORACLE = {
     ),
     "stream_price_append": "SELECT event_id, event_type || '-' || CAST(user_id AS STRING) AS variant_id, CAST(floor(value * 100) AS BIGINT) AS price_cents FROM events",
     "stream_latest_price": with_catalog("SELECT * FROM latest"),
-    "stream_validate_route": with_catalog(f"SELECT variant_id, severity, codes FROM ({ISSUES})"),
+    "stream_validate_route": with_catalog(
+        f"SELECT 'issues' AS sink, variant_id, severity, codes FROM ({ISSUES}) UNION ALL "
+        "SELECT 'accepted', variant_id, NULL, NULL FROM checked WHERE ok"
+    ),
 }

@@ -57,6 +57,12 @@ def ranked_grid(cat: StarCatalog, spec: FilterSpec) -> DataFrame:
     return ranking.global_rank(grouping.grouped_listings(cat, spec), ranking.rank_order(spec))
 
 
+def full_ranking(cat: StarCatalog, spec: FilterSpec) -> DataFrame:
+    """Every product of the grid with its rank; only what is shown goes through the ranking."""
+    shown = [*PAGE_COLUMNS, *({spec.metric_def.column} - set(PAGE_COLUMNS))]
+    return ranking.global_rank(grouping.grouped_listings(cat, spec).select(*shown), ranking.rank_order(spec))
+
+
 def last_page(cat: StarCatalog, spec: FilterSpec) -> DataFrame:
     """The deepest page, cut out of the ranked table by rank instead of by a huge offset."""
     ranked = ranked_grid(cat, spec)
@@ -213,12 +219,12 @@ QUERIES: dict[str, Query] = {
     ),
     **{
         f"rank_by_metric_{m.column}_{order}": (
-            lambda cat, key=key, order=order: grid_page(cat, FilterSpec(metric=key, order=order))
+            lambda cat, key=key, order=order: full_ranking(cat, FilterSpec(metric=key, order=order))
         )
         for key, m in METRICS.items()
         for order in ("best", "worst")
     },
-    "top_listings": lambda cat: ranking.top_listings(offers_for(cat, FilterSpec()), FilterSpec()).select(
+    "top_listings": lambda cat: ranking.top_listings(offers_for(cat, FilterSpec()), FilterSpec(), take=200).select(
         "variant_id", "product_id", "price_cents", "protein_per_dollar"
     ),
     "page_listings": lambda cat: grid_page(cat, FilterSpec(market="UK"), 1),

@@ -172,7 +172,7 @@ QUERIES = {
     "to_float": lambda cat: _parsed(landed.auction_items(cat), feeds.AUCTION_SUMMARY).select(
         "pk", "sk", F.col("item.seller.feedbackPercentage").try_cast("double").alias("feedback")),
     "sitemap_urls": lambda cat: feeds.sitemap_urls(sitemaps(cat), pattern="page=[0-9]+").select("site", "pos", "url"),
-    "page_url_set": lambda cat: url_sets(cat, feeds.URL_CAP),
+    "page_url_set": lambda cat: url_sets(cat, None),
     "url_concat_dedupe": lambda cat: url_sets(cat, None),
     "changed_content": changed,
     "powder_filter_shopify": lambda cat: powder(cat, landed.feed_items, feeds.FEED_PRODUCT, feeds.powder_feed, "id"),

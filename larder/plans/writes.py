@@ -149,11 +149,14 @@ def _scratch(cat: StarCatalog, name: str) -> str:
     return os.path.join(shared_folder(cat.spark), f"{name}-{uuid.uuid4().hex}")
 
 
+LANDED_FILES = 8
+
+
 def _stream(cat: StarCatalog, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` landed as files and read back as a stream."""
+    """``rows`` landed in files without regard to their order, and read back one file a batch."""
     path = _scratch(cat, name)
-    rows.write.parquet(path)
-    return jobs.read_stream(cat.spark, path, rows.schema, files_per_batch=1000)
+    rows.repartition(LANDED_FILES).write.parquet(path)
+    return jobs.read_stream(cat.spark, path, rows.schema)
 
 
 def stream_price_append(cat: StarCatalog) -> DataFrame:
@@ -170,35 +173,30 @@ def stream_price_append(cat: StarCatalog) -> DataFrame:
 
 def stream_latest_price(cat: StarCatalog) -> DataFrame:
     incoming = _stream(cat, cat.prices, "prices")
-    table = jobs.VersionedTable(cat.spark, _scratch(cat, "latest"))
-    latest = jobs.latest_price(incoming)
-    run = (
-        latest.writeStream.outputMode("complete").foreachBatch(table.write)
-        .option("checkpointLocation", _scratch(cat, "ckpt")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    last = run.lastProgress["batchId"]
-    return cat.spark.read.parquet(table.path(last)).withColumn(
-        "captured_at", F.col("captured_at").cast("timestamp_ntz")
-    )
+    table = jobs.BucketedTable(cat.spark, _scratch(cat, "latest"), incoming.schema, ["variant_id"])
+    jobs.latest_price(incoming, "variant_id", table, _scratch(cat, "ckpt")).awaitTermination()
+    return table.read().drop("seq")
 
 
 def stream_catalog_upsert(cat: StarCatalog) -> DataFrame:
     seen = arrivals(cat)
     incoming = _stream(cat, seen, "arrivals")
     policy = POLICIES["listings"]
-    schema = seen.select(*policy.columns).schema
-    table = jobs.VersionedTable(cat.spark, _scratch(cat, "listings"))
-    run = jobs.catalog_upsert(incoming, table, policy, schema, _scratch(cat, "ckpt"))
-    run.awaitTermination()
-    return table.read(run.lastProgress["batchId"], schema)
+    table = jobs.BucketedTable(
+        cat.spark, _scratch(cat, "listings"), jobs.upsert_states(seen, policy).schema, list(policy.key))
+    jobs.catalog_upsert(incoming, table, policy, _scratch(cat, "ckpt")).awaitTermination()
+    return table.read().select(*policy.columns)
 
 
 def stream_validate_route(cat: StarCatalog) -> DataFrame:
+    """What lies in both sinks afterwards."""
     incoming = _stream(cat, cat.nutrition_candidates, "candidates")
     accepted, issues = _scratch(cat, "accepted"), _scratch(cat, "issues")
     jobs.validate_route(incoming, accepted, issues, _scratch(cat, "ckpt")).awaitTermination()
-    return cat.spark.read.parquet(issues).select("variant_id", "severity", "codes")
+    none = F.lit(None).cast("string")
+    good = cat.spark.read.parquet(accepted).select(
+        F.lit("accepted").alias("sink"), "variant_id", none.alias("severity"), none.alias("codes"))
+    return good.unionByName(cat.spark.read.parquet(issues).select(F.lit("issues").alias("sink"), "variant_id", "severity", "codes"))
 
 
 QUERIES = {

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,20 +21,17 @@ def build_session(app: str = "larder", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-_local_folder: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints and working tables; a temporary one only in
-    local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="larder-"))
-    return _local_folder[0]
+    """This application's folder for checkpoints and working tables, deleted when it ends.
+
+    It lies in ``spark.checkpoint.dir``, or in the warehouse, which is shared too, where that is
+    unset.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/larder-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

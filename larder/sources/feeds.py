@@ -182,13 +182,10 @@ def sitemap_urls(sitemaps: DataFrame, xml: str = "xml", pattern: str | None = No
     return urls.filter(F.rlike("url", F.lit(pattern))) if pattern else urls
 
 
-URL_CAP = 200
+def page_url_set(explicit: DataFrame, mapped: DataFrame, scope: str, cap: int | None = None) -> DataFrame:
+    """Explicit URLs, then sitemap URLs; first place wins; with ``cap``, that many per source.
 
-
-def page_url_set(explicit: DataFrame, mapped: DataFrame, scope: str, cap: int | None = URL_CAP) -> DataFrame:
-    """Explicit URLs, then sitemap URLs; first place wins; at most ``cap`` per source.
-
-    Both inputs have (scope, pos, url). The cap is part of the feature: the crawl list is bounded.
+    Both inputs have (scope, pos, url).
     """
     both = explicit.select(scope, F.lit(0).alias("part"), "pos", "url").unionByName(
         mapped.select(scope, F.lit(1).alias("part"), "pos", "url")

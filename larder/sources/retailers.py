@@ -203,9 +203,8 @@ def normalize_feed(rows: DataFrame) -> DataFrame:
 def join_lookup(items: DataFrame, lookups: DataFrame) -> DataFrame:
     """Search items with their item lookup. The lookup replaces the item, because search prices
     are stale; an item without one is dropped."""
-    fresh = lookups.select(
-        F.col("item.itemId").alias("_id"), F.col("item").alias("_fresh"), "source_id"
-    )
+    keyed = lookups.withColumn("_id", F.col("item.itemId"))
+    fresh = keyed.groupBy("source_id", "_id").agg(F.max("item").alias("_fresh"))  # landed twice: once
     searched = items.withColumn("_id", F.col("item.itemId"))
     joined = searched.join(fresh, ["source_id", "_id"])
     return joined.withColumn("item", F.col("_fresh")).drop("_fresh", "_id")

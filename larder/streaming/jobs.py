@@ -1,87 +1,152 @@
-"""Streaming forms of the daily batch: append, latest price, catalog upsert, validate and route."""
+"""Streaming forms of the daily batch: append, latest price, catalog upsert, validate and route.
+
+None of them uses a watermark: a row that comes late is late, not wrong. What a batch writes bears
+the batch's number, so a batch that is run again after a failure replaces its own output only.
+"""
 
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from larder.operators.quality import route_validated, validate_nutrition
-from larder.operators.upserts import UpsertPolicy, upsert
-
-WATERMARK = "2 days"
-
+from larder.operators.upserts import UpsertPolicy
 
-def event_time(df: DataFrame, column: str = "captured_at") -> DataFrame:
-    """Watermarks need a zoned timestamp; stored times are naive UTC."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
+BUCKETS = 16
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def deduplicated(observations: DataFrame, key: list[str], delay: str = WATERMARK) -> DataFrame:
-    """Observations without replays. State is dropped once the watermark has passed."""
-    return event_time(observations).withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(key)
-
-
-def price_append(observations: DataFrame, key: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    dated = deduplicated(observations, key).withColumn("captured_month", F.trunc("captured_at", "month"))
+def run_batches(rows: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
-        dated.writeStream.format("parquet").option("path", path).partitionBy("captured_month")
-        .option("checkpointLocation", checkpoint).outputMode("append")
+        rows.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def latest_price(observations: DataFrame, key: str = "variant_id") -> DataFrame:
-    """Running last observation per key; write it in update or complete mode."""
-    rest = [c for c in observations.columns if c not in (key, "captured_at", "seq")]
-    timed = event_time(observations)
-    last = timed.groupBy(key).agg(F.max(F.struct("captured_at", "seq", *rest)).alias("last"))
-    return last.select(key, *[F.col(f"last.{c}").alias(c) for c in [*rest, "captured_at"]])
+def _replace(df: DataFrame, path: str, *parts: str) -> None:
+    """Replaces those partitions of the table that ``df`` has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-class VersionedTable:
-    """A parquet table that is replaced batch by batch: version N is the state after batch N.
+def price_append(observations: DataFrame, key: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Appends observations, in any order of time, without those that were delivered before.
 
-    A batch that is run again after a failure rewrites its own version from the one before, so
-    replays change nothing.
+    A replay carries the time of the original, so only the months that a batch touches are read.
     """
+    added = [StructField("captured_month", DateType()), StructField("batch_id", LongType())]
+    schema = StructType([*observations.schema.fields, *added])
+    spark = observations.sparkSession
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("captured_month", "batch_id").parquet(path)
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+    def run(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.dropDuplicates(key).withColumn("captured_month", F.trunc("captured_at", "month"))
+        months = dated.select("captured_month").distinct()
+        before = batch.sparkSession.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id)
+        known = before.join(months, "captured_month", "left_semi").select(*key)
+        fresh = dated.join(known, key, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        spread = fresh.repartitionByRange("captured_month", F.xxhash64(*key))
+        _replace(spread, path, "captured_month", "batch_id")
 
-    def path(self, version: int) -> str:
-        return os.path.join(self.root, f"v={version}")
+    return run_batches(observations, run, checkpoint)
 
-    def read(self, version: int, schema) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(version))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self.path(version))
+class BucketedTable:
+    """A parquet table by hash bucket of its key; a batch rewrites the buckets it touches.
 
+    Each bucket keeps its versions by batch number. A batch reads what was there before it, so
+    running it again changes nothing; the last two versions of a bucket stay, older ones go.
+    """
 
-def upsert_batch(table: VersionedTable, policy: UpsertPolicy, schema, seq: str = "seq") -> Callable:
-    """``foreachBatch`` body: merge each micro-batch by natural key."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        table.write(upsert(table.read(batch_id - 1, schema), batch, policy, seq), batch_id)
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: list[str], buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.key, self.buckets = spark, root, key, buckets
+        self.columns = schema.names
+        self.schema = StructType([*schema.fields, StructField("bucket", LongType()), StructField("version", LongType())])
+        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("bucket", "version").parquet(root)
+
+    def versions(self) -> dict[int, list[int]]:
+        """The versions of each bucket, from the folder names: at most three a bucket."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/bucket=*/version=*")
+        found = defaultdict(list)
+        for status in pattern.getFileSystem(conf).globStatus(pattern) or []:
+            bucket, version = (part.split("=")[1] for part in status.getPath().toString().split("/")[-2:])
+            found[int(bucket)].append(int(version))
+        return {bucket: sorted(held) for bucket, held in found.items()}
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets).cast("long"))
+
+    def _at(self, batch_id: int | None) -> DataFrame:
+        every = self.spark.read.schema(self.schema).parquet(self.root)
+        newest = {b: max((v for v in held if batch_id is None or v < batch_id), default=None) for b, held in self.versions().items()}
+        wanted = F.lit(False)
+        for bucket, version in newest.items():
+            if version is not None:
+                wanted |= (F.col("bucket") == bucket) & (F.col("version") == version)
+        return every.filter(wanted)
+
+    def read(self) -> DataFrame:
+        return self._at(None).select(*self.columns)
+
+    def merge(self, batch: DataFrame, batch_id: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """Each touched bucket becomes ``fold`` of its rows and the batch's."""
+        new = fold(batch).select(*self.columns).withColumn("bucket", self._bucket())
+        old = self._at(batch_id).join(new.select("bucket").distinct(), "bucket", "left_semi")
+        both = fold(old.select(*self.columns).unionByName(new.select(*self.columns)))
+        placed = both.withColumn("bucket", self._bucket()).withColumn("version", F.lit(batch_id).cast("long"))
+        _replace(placed.repartition(self.buckets, "bucket"), self.root, "bucket", "version")
+        self._drop_old()
+
+    def _drop_old(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for bucket, held in self.versions().items():
+            for version in held[:-2]:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/bucket={bucket}/version={version}")
+                path.getFileSystem(conf).delete(path, True)
+
+
+def latest_price(observations: DataFrame, key: str, table: BucketedTable, checkpoint: str) -> StreamingQuery:
+    """Keeps the last observation per key in ``table``, which holds the columns of the stream."""
+    rest = [c for c in observations.columns if c not in (key, "captured_at", "seq")]
 
-    return run
+    def fold(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy(key).agg(F.max(F.struct("captured_at", "seq", *rest)).alias("last"))
+        return last.select(key, "last.*")
 
+    return run_batches(observations, lambda batch, batch_id: table.merge(batch, batch_id, fold), checkpoint)
 
-def catalog_upsert(incoming: DataFrame, table: VersionedTable, policy: UpsertPolicy, schema,
-                   checkpoint: str) -> StreamingQuery:
-    return (
-        incoming.writeStream.foreachBatch(upsert_batch(table, policy, schema))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def upsert_states(incoming: DataFrame, policy: UpsertPolicy, seq: str = "seq") -> DataFrame:
+    """Rows as they lie in the table of ``catalog_upsert``: the policy's columns and the places in
+    the order of arrival of the newest update and of the first insert."""
+    return incoming.select(*policy.columns, F.col(seq).alias("updated_seq"), F.col(seq).alias("inserted_seq"))
+
+
+def fold_states(rows: DataFrame, policy: UpsertPolicy) -> DataFrame:
+    """One row per key, whatever order its rows came in."""
+    folded = rows.groupBy(*policy.key).agg(
+        F.max(F.struct("updated_seq", *policy.update)).alias("_new"),
+        F.min(F.struct("inserted_seq", *policy.keep)).alias("_first"),
+        *[F.max(c).alias(c) for c in policy.latest], *[F.min(c).alias(c) for c in policy.earliest],
     )
+    return folded.select(*policy.key, "_new.*", "_first.*", *policy.latest, *policy.earliest)
+
+
+def catalog_upsert(incoming: DataFrame, table: BucketedTable, policy: UpsertPolicy, checkpoint: str) -> StreamingQuery:
+    """Merges by natural key; ``table`` has the columns of :func:`upsert_states`."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        table.merge(upsert_states(batch, policy), batch_id, lambda rows: fold_states(rows, policy))
+
+    return run_batches(incoming, run, checkpoint)
 
 
 def validate_route(candidates: DataFrame, accepted_path: str, issues_path: str,
@@ -93,7 +158,4 @@ def validate_route(candidates: DataFrame, accepted_path: str, issues_path: str,
         accepted.write.mode("overwrite").parquet(os.path.join(accepted_path, f"batch={batch_id}"))
         issues.write.mode("overwrite").parquet(os.path.join(issues_path, f"batch={batch_id}"))
 
-    return (
-        candidates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return run_batches(candidates, run, checkpoint)
