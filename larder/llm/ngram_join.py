@@ -39,7 +39,7 @@ from larder.llm.components import connected
 BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
 PARTS_FROM = 90
-TABLE_BITS, CHUNK_BITS = 28, 15  # 32 MB of marks, in chunks of 4 KB
+TABLE_BITS, CHUNK_BITS = 28, 15  # 32 MB of marks, in chunks of 4 KB, the size of Spark's bitmaps
 LEAF = 16
 FANOUT = 8
 WORD_MEMO = 100_000
@@ -148,25 +148,12 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_pydict({"h": pa.array(shingles(text.as_py()).view(np.int64))})
 
-    def table(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            bits = batch.column(0).to_numpy()
-            order = np.argsort(bits)
-            bits = bits[order]
-            chunks, firsts = np.unique(bits >> CHUNK_BITS, return_index=True)
-            for chunk, part in zip(chunks.tolist(), np.split(bits, firsts[1:]), strict=True):
-                row = held.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=bool))
-                row[part & ((1 << CHUNK_BITS) - 1)] = True
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array(list(held), pa.int64()), "bits": pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())})
-
     counts = docs.select("text").mapInArrow(run, "h long").groupBy("h").count().filter("count > 1")
-    marked = counts.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).alias("bit"))
-    dealt = marked.repartition(F.shiftright("bit", CHUNK_BITS)).mapInArrow(table, "chunk long, bits binary")
+    bit = F.shiftrightunsigned("h", 64 - TABLE_BITS) + 1  # buckets of these functions start at one
+    chunks = counts.groupBy(F.bitmap_bucket_number(bit).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros((1 << (TABLE_BITS - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), dtype=np.uint8)
-    for row in dealt.toLocalIterator():  # the table's own size in all, one chunk a row
-        out[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    for row in chunks.toLocalIterator():  # the table's own size in all, one chunk a row
+        out[row["chunk"] - 1] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -174,10 +161,10 @@ def first_shingles(s: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarra
     """The first of the set in the order: as many as a linked set can lack, and one more."""
     take = len(s) - (percent * len(s) + 99) // 100 + 1
     bit = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    last = (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    last = (shared[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
     first = np.concatenate([s[~last], s[last]])[:take]
     # what only one text has meets nothing: it fills its place in the order and need not be sent
-    return first[min(take, int((~last).sum())):]
+    return first[min(take, int((~last).sum())):].copy()  # a view would keep the whole set
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
