@@ -19,24 +19,29 @@ def upc_to_product(variants: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def resolve_products(offers: DataFrame, known_upcs: DataFrame) -> DataFrame:
-    """Adds ``product_key`` to incoming offers (columns ``upc``, ``dedup_key`` and any others).
+    """Adds ``product_key`` and ``by_existing_upc`` to incoming offers (columns ``listing_id``,
+    ``position``, ``upc``, ``dedup_key`` and any others); a listing's offers all get the same.
 
-    A barcode of an existing product wins. Otherwise offers that share a barcode take the
-    smallest dedup key among them, and the rest their own. One pass: chains of barcodes
-    are not followed.
+    The first of a listing's barcodes, by position, that an existing product has decides. Without
+    one, listings that share a barcode take the smallest name key among them, by their first
+    barcode, and the rest their own: the ``dedup_key`` of their first offer. One pass: chains of
+    barcodes are not followed.
 
     Barcodes are reduced to one row before they meet the offers again, and a barcode that
     many offers carry is salted in that join. Offers without one never enter it.
     """
-    coded = offers.filter(F.col("upc").isNotNull() & (F.col("upc") != ""))
-    shared = coded.groupBy("upc").agg(F.min("dedup_key").alias("_shared"))
-    existing = known_upcs.select("upc", F.col("product_key").alias("_known"))
-    per_upc = shared.join(existing, "upc", "left").select(
-        "upc", F.coalesce("_known", "_shared").alias("product_key"),
-        F.col("_known").isNotNull().alias("by_existing_upc"),
+    names = offers.groupBy("listing_id").agg(F.min_by("dedup_key", "position").alias("_own"))
+    coded = offers.filter(F.col("upc").isNotNull() & (F.col("upc") != "")).select("listing_id", "position", "upc")
+    coded = coded.join(names, "listing_id")
+    shared = coded.groupBy("upc").agg(F.min("_own").alias("_shared"))
+    existing = known_upcs.groupBy("upc").agg(F.min("product_key").alias("_known"))
+    hits = skew_join(coded, shared.join(existing, "upc", "left"), "upc")
+    known_at = F.when(F.col("_known").isNotNull(), F.col("position"))
+    picked = hits.groupBy("listing_id").agg(
+        F.min_by("_known", known_at).alias("_known"), F.min_by("_shared", "position").alias("_shared")
     )
-    plain = offers.filter(F.col("upc").isNull() | (F.col("upc") == ""))
-    unmatched = plain.withColumns(
-        {"product_key": F.col("dedup_key"), "by_existing_upc": F.lit(False)}
+    decided = names.join(picked, "listing_id", "left")
+    return offers.join(decided, "listing_id", "left").select(
+        *offers.columns, F.coalesce("_known", "_shared", "_own", "dedup_key").alias("product_key"),
+        F.col("_known").isNotNull().alias("by_existing_upc"),
     )
-    return skew_join(coded, per_upc, "upc").unionByName(unmatched)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 64
-SALTS = 32
+MAX_HOT_KEYS = 512  # keys looked at; a lighter one is left to adaptive execution
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
-    """Keys that hold at least ``share`` of the rows; at most ``1 / share`` exist.
+def hot_keys(df: DataFrame, key: str, parts: int) -> dict:
+    """Keys that hold more rows than an even one of ``parts`` partitions, with the partitions each
+    would fill.
 
     A heavy-hitter sketch is built on the map side, so this reads one column and sends
     the driver a bounded list.
@@ -22,28 +24,24 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
         F.count(F.lit(1)).alias("n"),
     )
     row = sketch.first()
-    floor = max(row["n"] * share, 1)
-    return [item["item"] for item in row["top"] or [] if item["count"] >= floor]
+    even = max(row["n"] / parts, 1)
+    return {t["item"]: math.ceil(t["count"] / even) for t in row["top"] or [] if t["count"] > even}
 
 
-def skew_join(
-    fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = 0.02
-) -> DataFrame:
-    """Equi-join in which the hot keys of ``fact`` are salted.
+def skew_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join in which the hot keys of ``fact`` are salted; ``how`` is inner or left.
 
-    Rows of a hot key are spread over ``SALTS`` buckets and the matching ``dim`` rows are repeated
-    once per bucket; all other keys use bucket 0. Which keys count as hot affects balance only,
-    never the result.
+    Rows of a hot key are spread over as many buckets as it would fill partitions, and the matching
+    ``dim`` rows are repeated once per bucket; all other keys use bucket 0. Which keys count as hot
+    affects balance only, never the result.
     """
-    hot = hot_keys(fact, key, share)
+    if how not in ("inner", "left"):
+        raise ValueError(f"{how}: unmatched rows of the repeated side would come out once per bucket")
+    hot = hot_keys(fact, key, int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if not hot:
         return fact.join(dim, key, how)
-    bucket = F.when(
-        F.col(key).isin(hot), F.pmod(F.xxhash64(*[c for c in fact.columns]), F.lit(SALTS))
-    ).otherwise(F.lit(0).cast("long"))
-    copies = F.when(
-        F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-    ).otherwise(F.array(F.lit(0).cast("long")))
-    salted = fact.withColumn("_salt", bucket)
-    spread = dim.withColumn("_salt", F.explode(copies))
+    salts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    count = F.coalesce(F.try_element_at(salts, F.col(key)), F.lit(1)).cast("long")
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), count))
+    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     return salted.join(spread, [key, "_salt"], how).drop("_salt")

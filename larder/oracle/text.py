@@ -59,11 +59,13 @@ OFF_FACTS = p.facts_ctes(
 )
 TAGS3 = ", ".join(f"{joined(t)} AS {t}" for t in ("dietary_labels", "allergens", "sweeteners"))
 RESOLVE = (
-    f"keyed AS (SELECT variant_id, sk, {fx.UPC} AS upc, {p.dedup_key('brand', 'title')} AS dedup_key FROM titles),\n"
-    "known AS (SELECT upc, min(dedup_key) AS product_key FROM keyed WHERE sk < 2 AND upc IS NOT NULL GROUP BY upc),\n"
-    "incoming AS (SELECT * FROM keyed WHERE sk >= 2),\n"
-    "shared AS (SELECT upc, min(dedup_key) AS shared_key FROM incoming WHERE upc IS NOT NULL GROUP BY upc),\n"
-    "resolved AS (SELECT variant_id, i.upc, dedup_key, coalesce(k.product_key, s.shared_key, dedup_key) AS product_key, k.upc IS NOT NULL AS by_existing_upc FROM incoming i LEFT JOIN shared s ON s.upc = i.upc LEFT JOIN known k ON k.upc = i.upc)"
+    f"keyed AS (SELECT variant_id, sk, pk, {fx.UPC} AS upc, {p.dedup_key('brand', 'title')} AS dedup_key FROM titles),\n"
+    "known_upc AS (SELECT upc, min(dedup_key) AS known_key FROM keyed WHERE sk < 2 AND upc IS NOT NULL GROUP BY upc),\n"
+    "incoming AS (SELECT variant_id, sk || '-' || (pk // 3) AS listing_id, pk % 3 AS place, upc, dedup_key FROM keyed WHERE sk >= 2),\n"
+    "own AS (SELECT listing_id, arg_min(dedup_key, place) AS own_key FROM incoming GROUP BY listing_id),\n"
+    "coded_offer AS (SELECT listing_id, place, i.upc, known_key, min(own_key) OVER (PARTITION BY i.upc) AS shared_key FROM incoming i JOIN own USING (listing_id) LEFT JOIN known_upc k ON k.upc = i.upc WHERE i.upc IS NOT NULL),\n"
+    "decided AS (SELECT listing_id, arg_min(known_key, place) FILTER (WHERE known_key IS NOT NULL) AS known_key, arg_min(shared_key, place) AS shared_key FROM coded_offer GROUP BY listing_id),\n"
+    "resolved AS (SELECT variant_id, listing_id, upc, dedup_key, coalesce(known_key, shared_key, own_key) AS product_key, known_key IS NOT NULL AS by_existing_upc FROM incoming JOIN own USING (listing_id) LEFT JOIN decided USING (listing_id))"
 )
 
 

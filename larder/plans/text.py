@@ -84,12 +84,15 @@ def resolved(cat: StarCatalog) -> DataFrame:
     keyed = titles(cat).withColumns(
         {"dedup_key": identity.product_dedup_key(F.col("brand"), F.col("title")), "upc": F.expr(fx.UPC)}
     )
-    keyed = keyed.select("variant_id", "sk", "upc", "dedup_key")
+    keyed = keyed.select(
+        "variant_id", "sk", "upc", "dedup_key", F.expr("pk % 3").alias("position"),
+        F.concat_ws("-", "sk", F.expr("pk div 3")).alias("listing_id"),  # three variants to a listing
+    )
     known = keyed.filter((F.col("sk") < 2) & F.col("upc").isNotNull()).groupBy("upc").agg(
         F.min("dedup_key").alias("product_key")
     )
     incoming = keyed.filter(F.col("sk") >= 2).drop("sk")
-    return resolve.resolve_products(incoming, known)
+    return resolve.resolve_products(incoming, known).drop("position")
 
 
 def told_documents(cat: StarCatalog) -> DataFrame:

@@ -12,7 +12,7 @@ from larder.functions.units import is_multipack
 FEED_PRODUCT = (
     "struct<id:bigint,title:string,handle:string,vendor:string,product_type:string,tags:string,"
     "body_html:string,options:array<struct<name:string,position:int>>,"
-    "variants:array<struct<id:bigint,title:string,option1:string,option2:string,price:string,"
+    "variants:array<struct<id:bigint,title:string,option1:string,option2:string,option3:string,price:string,"
     "compare_at_price:string,available:boolean,grams:int,sku:string>>>"
 )
 AFFILIATE_ITEM = (

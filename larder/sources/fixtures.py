@@ -174,7 +174,7 @@ AFFILIATE = {
 }
 
 MARKETPLACE = {
-    "asin": "CASE WHEN pk % 31 = 0 THEN '' ELSE 'A' || CAST(pk AS STRING) || 'X' || CAST(sk AS STRING) END",
+    "asin": "CASE WHEN pk % 31 = 0 THEN '' ELSE 'A' || CAST(pk AS STRING) END",
     "title": TITLE,
     "price": PRICE_TEXT,
     "original": (

@@ -118,7 +118,7 @@ def marketplace_details(cat) -> DataFrame:
         F.array("about").alias("about_product"), info.alias("product_information"),
         F.struct(F.col("x_gtin").alias("Global GTIN number")).alias("product_details"),
     )
-    return rows.select("asin", F.to_json(F.struct(detail.alias("data"))).alias("payload"))
+    return rows.select("source_id", "asin", F.to_json(F.struct(detail.alias("data"))).alias("payload"))
 
 
 def grocer_items(cat) -> DataFrame:
@@ -159,7 +159,7 @@ def auction_details(cat) -> DataFrame:
     rows = _fields(family_rows(cat, "ebay").filter(fx.AUCTION_HAS_ITEM), fx.AUCTION)
     aspect = F.struct(F.col("aspect_name").alias("name"), F.col("aspect_value").alias("value"))
     detail = F.struct("gtin", F.array(aspect).alias("localizedAspects"))
-    return rows.select("item_id", F.to_json(detail).alias("payload"))
+    return rows.select("source_id", "item_id", F.to_json(detail).alias("payload"))
 
 
 def product_pages(cat) -> DataFrame:

@@ -110,7 +110,7 @@ def _option_position(options: Column, names: list[str]) -> Column:
 
 
 def _option_value(variant: Column, position: Column) -> Column:
-    return F.when(position == 1, variant["option1"]).when(position == 2, variant["option2"])
+    return F.coalesce(*[F.when(position == k, variant[f"option{k}"]) for k in (1, 2, 3)])
 
 
 def nutrition_feed(df: DataFrame, fallback: DataFrame | None = None, key: str = "source_sku") -> DataFrame:
@@ -260,9 +260,12 @@ def normalize_affiliate(rows: DataFrame, publisher_id: str | None = None) -> Dat
 
 
 def one_per_id(details: DataFrame, key: str) -> DataFrame:
-    """One detail payload per real id. Items without an id are never looked up, and a payload
-    landed twice must not multiply its item."""
-    return details.filter(F.col(key) != "").groupBy(key).agg(F.max("payload").alias("payload"))
+    """One detail payload per source and real id. Items without an id are never looked up, and a
+    payload landed twice must not multiply its item: the newest by ``landed_at`` counts where the
+    table has that column, else the greatest text."""
+    order = F.struct("landed_at", "payload") if "landed_at" in details.columns else F.col("payload")
+    real = details.filter(F.col(key) != "")
+    return real.groupBy("source_id", key).agg(F.max_by("payload", order).alias("payload"))
 
 
 def join_details(items: DataFrame, details: DataFrame | None) -> DataFrame:
@@ -271,9 +274,9 @@ def join_details(items: DataFrame, details: DataFrame | None) -> DataFrame:
     if details is None:
         return items.withColumn("d", F.lit(None).cast(typed))
     body = one_per_id(details, "asin").select(
-        "asin", F.from_json("payload", f"struct<data:{typed}>")["data"].alias("d")
+        "source_id", "asin", F.from_json("payload", f"struct<data:{typed}>")["data"].alias("d")
     )
-    return items.join(body, "asin", "left")
+    return items.join(body, ["source_id", "asin"], "left")
 
 
 def marketplace_brand(details: Column, info: Callable[[str], Column]) -> Column:
@@ -460,9 +463,9 @@ def auction_gtin(item: Column) -> Column:
 def join_item(items: DataFrame, details: DataFrame) -> DataFrame:
     """Summaries with the barcode of their item, where there is one."""
     body = one_per_id(details, "item_id").select(
-        "item_id", auction_gtin(F.from_json("payload", feeds.AUCTION_ITEM)).alias("upc")
+        "source_id", "item_id", auction_gtin(F.from_json("payload", feeds.AUCTION_ITEM)).alias("upc")
     )
-    return items.join(body, "item_id", "left")
+    return items.join(body, ["source_id", "item_id"], "left")
 
 
 def currency_guard(df: DataFrame, currency: Column) -> DataFrame:

@@ -1,9 +1,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import enrich, grouping, metrics, quality, ranking, skew, upserts
+from larder.operators import enrich, grouping, metrics, quality, ranking, resolve, skew, upserts
 from larder.operators.filters import FilterSpec
 from larder.sources import feeds, retailers
 
@@ -71,10 +72,13 @@ def test_global_and_group_rank_match_brute_force(spark):
 def test_skew_join_keeps_every_row(spark):
     fact = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(1000)], "k string, i int")
     dim = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 3)], "k string, d int")
-    assert skew.hot_keys(fact, "k") == ["hot"]
+    assert skew.hot_keys(fact, "k", 8) == {"hot": 4}  # half of the rows fill four of eight partitions
     for how in ("inner", "left"):
         got = sorted(map(str, skew.skew_join(fact, dim, "k", how).select("k", "i", "d").collect()))
         assert got == sorted(map(str, fact.join(dim, "k", how).select("k", "i", "d").collect()))
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            skew.skew_join(fact, dim, "k", how)
 
 
 def test_best_offer_counts_only_matching_rows(spark):
@@ -108,3 +112,38 @@ def test_json_ld_shapes(spark):
 def test_enrichment_batch_is_ordered(spark):
     df = spark.createDataFrame([(f"v{i:03d}", "1", 1.0) for i in range(50)], "variant_id string, upc string, size_g double")
     assert [r.variant_id for r in enrich.next_batch(df.repartition(5), 3).collect()] == ["v000", "v001", "v002"]
+
+
+SHOP = "source_id int, source_slug string, source_name string, base_url string, market string, pk int, sk int, "
+
+
+def test_third_option_names_the_size(spark):
+    product = (
+        '{"id":1,"title":"Whey protein","handle":"whey","vendor":"V","product_type":"","tags":"","body_html":"",'
+        '"options":[{"name":"Pack","position":1},{"name":"Flavor","position":2},{"name":"Size","position":3}],'
+        '"variants":[{"id":9,"title":"x","option1":"1","option2":"Mint","option3":"2 lb","price":"30.00","grams":100}]}'
+    )
+    rows = spark.createDataFrame([(1, "s", "S", "https://s.example", "US", 1, 1, product)], SHOP + "payload string")
+    got = retailers.normalize_feed(rows).first()
+    assert (got.size_label, got.flavor, round(got.size_g, 3)) == ("2 lb", "Mint", 907.185)
+
+
+def test_details_stay_in_their_market_and_the_newest_counts(spark):
+    items = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A")], "source_id int, asin string")
+    body = '{"data":{"product_title":"%s"}}'
+    details = spark.createDataFrame(
+        [(1, "A", body % "zz old", 1), (1, "A", body % "new", 2), (2, "A", body % "other", 1)],
+        "source_id int, asin string, payload string, landed_at int")
+    got = {r.source_id: r.d and r.d.product_title for r in retailers.join_details(items, details).collect()}
+    assert got == {1: "new", 2: "other", 3: None}
+
+
+def test_a_listing_has_one_product(spark):
+    offers = spark.createDataFrame(
+        [("l1", 0, None, "own"), ("l1", 1, "u9", "own2"), ("l1", 2, "u2", "own3"), ("l1", 3, "u1", "own4"),
+         ("l2", 0, "u9", "aaa"), ("l3", 0, "", "solo"), (None, 0, None, "loose")],
+        "listing_id string, position int, upc string, dedup_key string")
+    known = spark.createDataFrame([("u1", "p1"), ("u2", "p2"), ("u2", "p3")], "upc string, product_key string")
+    got = {(r.listing_id, r.position): (r.product_key, r.by_existing_upc) for r in resolve.resolve_products(offers, known).collect()}
+    assert got == {
+        **{("l1", k): ("p2", True) for k in range(4)}, ("l2", 0): ("aaa", False), ("l3", 0): ("solo", False), (None, 0): ("loose", False)}
