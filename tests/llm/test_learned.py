@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
-from larder.llm import bm25_wand, weak_labels
+from pyspark.sql import functions as F
+
+from larder.llm import bm25_wand, quality_cascade, weak_labels
 from larder.llm.lattice_lm import words_of
 from tests.llm.fixtures import edge, edge_rows, empty
 
@@ -33,6 +35,13 @@ def test_classifier_on_labels(spark):
     assert weak_labels.classify(edge(spark)).count() == len(edge_rows()) and weak_labels.classify(empty(spark)).count() == 0
 
 
+def test_profiles_measure_as_the_rules_do(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text").union(edge(spark).select("doc_id", "text"))
+    names = ["doc_id", *weak_labels.MEASURES]
+    got = Counter(map(tuple, weak_labels.profiles(docs).select(*names).collect()))
+    assert got == Counter(map(tuple, quality_cascade.measures(docs, F.col("text")).select(*names).collect()))
+
+
 def brute(rows, top, terms):
     texts = [(i, Counter(words_of(t))) for i, t in rows]
     n, df = len(rows), Counter(w for _, c in texts for w in c)
