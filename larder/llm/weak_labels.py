@@ -33,7 +33,8 @@ from larder.llm.quality_cascade import WINDOW
 
 SAMPLE = 4000
 FEATURES = 4096
-MEMO = 200_000
+MEMO = 50_000
+CLOSING = ",.;:!?"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_distinct", "n_stutter", "n_repeat_words"]
 SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 
@@ -77,21 +78,26 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[float, list[t
 
 
 def shape(word: str) -> str:
-    """Letters, digits and runs reduced to classes; other characters stay."""
-    word = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a" + str(min(9, len(m[0]) // 2)), word)
+    """Letters, digits and runs reduced to classes; other characters stay. A plain word, perhaps
+    with a mark after it, needs no pattern."""
+    body = word[:-1] if word[-1] in CLOSING else word
+    if body.isalpha():
+        return ("A" if len(body) > 1 and body.isupper() else "a0") + word[len(body):]
+    word = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a0", word)
     return re.sub(r"(.)\1+", r"\1+", re.sub(r"\d+", "0", word))
 
 
-def features(counts: Counter, n_stutter: int, memo: dict[bytes, int], width: int = FEATURES) -> dict[int, int]:
+def features(counts: Counter, n_stutter: int, memo: dict[str, int], width: int = FEATURES) -> dict[int, int]:
     """Hashed features and how often each occurs: every word's shape, whether the text had the word
     before or just now, and whether there is next to nothing."""
     held: dict[int, int] = defaultdict(int)
     for word, n in counts.items():
-        at = memo.get(word)
+        kind = shape(word.decode())
+        at = memo.get(kind)
         if at is None:
             if len(memo) >= MEMO:
                 memo.clear()
-            at = memo[word] = xxhash.xxh32_intdigest(shape(word.decode())) % (width - 3)
+            at = memo[kind] = xxhash.xxh32_intdigest(kind) % (width - 3)
         held[at] += n
     again = counts.total() - len(counts)
     if n_stutter:

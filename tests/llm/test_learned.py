@@ -42,6 +42,11 @@ def test_profiles_measure_as_the_rules_do(spark):
     assert got == Counter(map(tuple, quality_cascade.measures(docs, F.col("text")).select(*names).collect()))
 
 
+def test_shapes():
+    want = {"word": "a0", "Word,": "a0,", "NASA": "A", "NASA.": "A.", "I": "a0", "a1b22": "a0a0", "x--y": "a0-+a0", "12": "0", "...": ".+", ",": ",", "漢字!": "a0!"}
+    assert {w: weak_labels.shape(w) for w in want} == want
+
+
 def brute(rows, top, terms):
     texts = [(i, Counter(words_of(t))) for i, t in rows]
     n, df = len(rows), Counter(w for _, c in texts for w in c)
