@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import bm25_wand, quality_cascade, weak_labels
 from larder.llm.lattice_lm import words_of
-from tests.llm.fixtures import edge, edge_rows, empty
+from tests.llm.fixtures import edge, edge_rows, empty, save
 
 ROOT = "/root/testdata/sf0.01"
 
@@ -75,3 +75,20 @@ def test_search_equals_scoring_all(spark, monkeypatch):
     assert {(q, k, s) for q, _, k, s in got} == {(q, k, s) for q, _, k, s in brute(rows, 10, 12)}
     assert len(got ^ brute(rows, 10, 12)) <= 4  # ties within rounding may change places
     assert bm25_wand.search(empty(spark)).count() == 0 and bm25_wand.search(edge(spark)).count() >= 0
+
+
+def test_query_asks_with_every_word(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]  # in every text, so each alone weighs next to nothing
+    rows = [(50 * q, " ".join([f"q{q}x{i}" for i in range(12)] * 2 + rng.sample(common, 30) + [f"t{q}"])) for q in range(1, 5)]
+    rows += [(1000 + i, " ".join(rng.sample(common, rng.randrange(5, 40)) + [f"t{i % 9}"] * (i % 3))) for i in range(1, 49)]
+    rows += [(None, "c1 c2 t1"), (5000, None), (5050, "")]
+    monkeypatch.setattr(bm25_wand, "BLOCK", 4)
+    folder = save(spark, [(i, t, None, None, 0) for i, t in rows], tmp_path)
+    got = {(r.query_id, r.doc_id, r.rank, round(r.score, 7)) for r in bm25_wand.query(spark, folder).collect()}
+    want = brute(rows, 10, None)
+    assert {(q, k, s) for q, _, k, s in brute(rows, 10, 12)} != {(q, k, s) for q, _, k, s in want}
+    assert {(q, k, s) for q, _, k, s in got} == {(q, k, s) for q, _, k, s in want}
+    assert len(got ^ want) <= 4  # ties within rounding may change places
+    in_blocks = bm25_wand.search(spark.read.parquet(f"{folder}/documents.parquet"), terms=None, per_block=50).collect()
+    assert {(r.query_id, r.doc_id, r.rank, round(r.score, 7)) for r in in_blocks} == got
