@@ -3,7 +3,8 @@
 Each rule is a failing condition and an estimate of its work per document. One aggregate over a
 bounded sample gives every rule's mean work and rejection rate; the rules then run in order of
 rejections per unit of work, as one CASE chain that stops at the first failure. The order changes
-what is computed, never the verdict.
+what is computed, never the verdict. The share of distinct words falls as any text grows, so it is
+taken over consecutive windows of ``SPREAD`` words, the last one shorter, and weighted by their length.
 
 Edge cases: a null or empty text has no words and fails; ratios of a text without words or lines
 count as 0; ties in the order fall back to the rule's name; an empty table keeps the given order;
@@ -23,6 +24,7 @@ from larder.llm.common import NOT_SPACE, documents, fresh, words
 SAMPLE_ROWS = 2000
 WINDOW = 5
 MIN_WORDS = 10
+SPREAD = 2000
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ RULES = [
     Rule("symbols", "n_symbols > 0.1 * n_words", "chars"),
     Rule("repeated_lines", "n_dup_lines > 0.4 * n_lines", "chars + 4 * n_lines"),
     Rule("word_length", "word_chars < 2.5 * n_words OR word_chars > 20 * n_words", "chars"),
-    Rule("distinct_words", "n_distinct < 0.35 * n_words", "8 * n_words"),
+    Rule("distinct_words", "n_spread < 0.35 * n_words", "8 * n_words"),
     Rule("stutter", "n_stutter > 0.25 * n_words", "6 * n_words"),
     Rule("repeated_windows", "100 * n_repeat_words > 20 * n_words", "40 * n_words"),
 ]
@@ -76,6 +78,14 @@ def n_distinct() -> Column:
     return F.size(F.array_distinct("_words")).cast("long")
 
 
+def n_spread() -> Column:
+    """Distinct words of each window of ``SPREAD`` words, added up; of a shorter text, ``n_distinct``."""
+    starts = F.sequence(F.lit(1), F.size("_words"), F.lit(SPREAD))
+    per_window = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice("_words", i, SPREAD))).cast("long"))
+    total = F.aggregate(per_window, F.lit(0).cast("long"), lambda acc, n: acc + n)
+    return F.when(F.size("_words") > SPREAD, total).otherwise(n_distinct())
+
+
 def n_stutter() -> Column:
     """Words equal to the word before."""
     pairs = F.zip_with("_words", F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda a, b: a == b)
@@ -117,7 +127,7 @@ def with_repeats(df: DataFrame, hashes: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(covered, F.lit(0)).cast("long")).drop("_sorted", "_places")
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "chars", "n_distinct", "n_stutter", "n_repeat_words"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "chars", "n_distinct", "n_spread", "n_stutter", "n_repeat_words"]
 
 
 def measures(df: DataFrame, text: Column) -> DataFrame:
@@ -126,7 +136,7 @@ def measures(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumns({
         "n_words": n_words(), "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines(),
         "n_lines": F.size("_lines").cast("long"), "chars": F.length("_text").cast("long"),
-        "n_distinct": n_distinct(), "n_stutter": n_stutter(), "_hashes": window_hashes(),
+        "n_distinct": n_distinct(), "n_spread": n_spread(), "n_stutter": n_stutter(), "_hashes": window_hashes(),
     })
     return with_repeats(df, "_hashes", "n_repeat_words").drop("_text", "_words", "_lines", "_hashes")
 
@@ -171,7 +181,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     judged = measures(docs.select("doc_id", "text"), F.col("text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = judged.select("doc_id", *[m for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                           failed.alias("base_failed"), "n_lines", "n_distinct", "n_stutter")
+                           failed.alias("base_failed"), "n_lines", "n_spread", "n_stutter")
     return judged.withColumn("kept", ~F.col("base_failed") & verdict(plan(docs))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -1,6 +1,8 @@
 """Quality cascade, credential links, source mixture and virtual slots against brute force."""
 
 import hashlib
+import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import credential_links, mixture, quality_cascade, slots
-from tests.llm.fixtures import edge, edge_rows, empty, save
+from tests.llm.fixtures import SCHEMA, edge, edge_rows, empty, save
 
 ROOT = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,6 +48,23 @@ def test_cascade_order_keeps_verdict(spark):
     assert quality_cascade.keep_good(empty(spark)).count() == 0
 
 
+def test_long_texts_keep_their_verdict(spark, tmp_path):
+    rng = random.Random(6)
+    # Zipf's law: the share of distinct words falls with length, as in natural text
+    weights = list(itertools.accumulate(1 / (i + 3) for i in range(60_000)))
+    long = [f"w{i}" for i in rng.choices(range(60_000), cum_weights=weights, k=100_000)]
+    assert len(set(long)) < 0.35 * len(long)
+    poor = [f"w{i}" for i in rng.choices(range(400), k=100_000)]
+    texts = [" ".join(long), " ".join(long[:2000]), " ".join(long[:2001]), " ".join(poor), " ".join(poor[:3000])]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    folder = save(spark, rows, tmp_path)
+    got = {r.doc_id: r.kept for r in quality_cascade.query(spark, folder).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
+    assert sorted(r.doc_id for r in quality_cascade.keep_good(spark.read.parquet(f"{folder}/documents.parquet")).collect()) == [0, 1, 2]
+    spread = {r.doc_id: r.n_spread for r in quality_cascade.measures(spark.createDataFrame(rows, SCHEMA), F.col("text")).collect()}
+    assert spread == {i: sum(len(set(t.split()[k:k + 2000])) for k in range(0, len(t.split()), 2000)) for i, t in enumerate(texts)}
+
+
 def test_cascade_puts_cheap_rejections_first(spark):
     rows = [(i, "# # # # # # # # # # # #" if i % 2 else f"w{i} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} j{i}") for i in range(40)]
     order = quality_cascade.plan(spark.createDataFrame(rows, "doc_id long, text string"))
