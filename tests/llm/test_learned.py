@@ -92,3 +92,20 @@ def test_query_asks_with_every_word(spark, tmp_path, monkeypatch):
     assert len(got ^ want) <= 4  # ties within rounding may change places
     in_blocks = bm25_wand.search(spark.read.parquet(f"{folder}/documents.parquet"), terms=None, per_block=50).collect()
     assert {(r.query_id, r.doc_id, r.rank, round(r.score, 7)) for r in in_blocks} == got
+
+
+def test_first_batches_are_pruned(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(.6)), 900)}" for _ in range(rng.randrange(3, 60)))) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    merged, plain = [], bm25_wand.hits_of
+
+    def hits_of(*args):
+        merged.append(plain(*args))
+        return merged[-1]
+
+    monkeypatch.setattr(bm25_wand, "hits_of", hits_of)
+    got = {(r.query_id, r.rank): r.score for r in bm25_wand.search(docs, terms=None).collect()}
+    want = {(q, k): s for q, _, k, s in brute(rows, 10, None)}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+    assert merged[-1].count() < 0.75 * 16 * len(got)  # not the best ten of each of 16 tasks
