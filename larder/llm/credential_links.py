@@ -85,7 +85,8 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(key, span) parts -> per key the weak spans that have their complement in scope.
 
     Interval join: a part looks into its own and the two neighbouring cells of ``scope`` code
-    points, and a pair counts when the gap between the spans is at most ``scope``. The join
+    points, and a pair counts when the gap between the spans is at most ``scope`` and they do not
+    overlap; only an endpoint may hold its parts. The join
     aggregates to three flags per weak part at once, so pairs are never written out.
     """
     role = F.when(F.col("rank").isin(1, 3), "i").when(F.col("rank") == 5, "e").otherwise("s")
@@ -99,7 +100,7 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         "cell", F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("stop") / scope) + 1)))
     gap = F.greatest(F.col("b") - F.col("stop"), F.col("start") - F.col("e"))
     pairs = seen.join(near, (seen["key"] == near["k"]) & (seen["cell"] == near["cell"]) & (gap <= scope)
-                      & ~((F.col("b") == F.col("start")) & (F.col("e") == F.col("stop")) & (F.col("r") == F.col("role"))))
+                      & ((gap >= 0) | (F.col("rank") == 5)))
     flags = pairs.groupBy("key", "start", "rank", "stop").agg(
         F.max((F.col("r") == "i").cast("int")).alias("has_i"), F.max((F.col("r") == "s").cast("int")).alias("has_s"))
     kept = flags.filter("(rank = 3 AND has_s = 1) OR (rank = 4 AND has_i = 1) OR (rank = 5 AND has_i = 1 AND has_s = 1)")

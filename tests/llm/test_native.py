@@ -114,6 +114,13 @@ def test_weak_parts_need_each_other(spark, tmp_path):
     assert got[4].startswith("access:2:22,endpoint:27:49,assign:55:")
 
 
+def test_a_span_is_not_its_own_complement(spark, tmp_path):
+    lone, beside = "username=JohnSmith1234567890", "username=JohnSmith1234567890 and Ab3dEfGh1jKlMnOpQrSt"
+    folder = save(spark, [(0, lone, None, None, None), (1, beside, None, None, None)], tmp_path)
+    got = {r.doc_id: r.spans for r in credential_links.query(spark, folder).collect()}
+    assert got[0] == "" and "id:0:28" in got[1] and "secret:33:53" in got[1]
+
+
 def test_redaction(spark):
     table = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in enumerate(SECRETS)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r for r in credential_links.redact(table).collect()}
