@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bm25_wand, bpe_fst, credential_links, lattice_lm, mixture, ngram_join, quality_cascade, simple8b, slots, weak_labels
+from larder.llm import bm25_wand, bpe_fst, credential_links, grace_dedup, lattice_lm, mixture, ngram_join, quality_cascade, simple8b, slots, weak_labels
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,6 +15,10 @@ QUERIES = {
     "op8_simple8b_ids": simple8b.query,
     "op9_source_mixture": mixture.query,
     "op10_virtual_slots": slots.query,
+    "op12_grace_dedup": grace_dedup.query,
 }
 
-ORACLE = {"op4_quality_cascade": quality_cascade.ORACLE}
+ORACLE = {
+    "op4_quality_cascade": quality_cascade.ORACLE,
+    "op12_grace_dedup": grace_dedup.ORACLE,
+}
