@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from larder.llm import bm25_wand, bpe_fst, credential_links, grace_dedup, lattice_lm, mixture, ngram_join, quality_cascade, simple8b, slots, weak_labels
+from larder.llm import (
+    bm25_wand, bpe_fst, credential_links, grace_dedup, lattice_lm, mixture, ngram_join, quality_cascade, simple8b, slots,
+    token_align, weak_labels,
+)
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,10 +18,12 @@ QUERIES = {
     "op8_simple8b_ids": simple8b.query,
     "op9_source_mixture": mixture.query,
     "op10_virtual_slots": slots.query,
+    "op11_token_align": token_align.query,
     "op12_grace_dedup": grace_dedup.query,
 }
 
 ORACLE = {
     "op4_quality_cascade": quality_cascade.ORACLE,
+    "op11_token_align": token_align.query,
     "op12_grace_dedup": grace_dedup.ORACLE,
 }
