@@ -10,8 +10,9 @@ and B end on the same byte, both sequences are cut; what lies between two cuts i
    the character's span and B gives all but the last an empty one, and the ends are refined by the
    lengths of the decoded bytes.
 2. Neither tokenizer lets a token go on after a single blank or line feed into the next word, so a
-   text is aligned chunk by chunk and a worker remembers frequent chunks, ``MEMO_ENTRIES`` of them
-   in two generations. A vocabulary with a piece that spans a blank is aligned text by text.
+   text is put together from its chunks' alignments. New chunks are aligned many at a time, joined
+   to one text, and a worker remembers the chunks it met last, some ``MEMO_ENTRIES`` in each of two
+   generations. A vocabulary with a piece that spans a blank is aligned text by text.
 3. Each group links the A token and the B token that end with it. Links are counted over the whole
    corpus. One of two linked tokens' bytes ends with the other's, so there are at most as many
    kinds of pair as both vocabularies have bytes: about half a million for the given ones, 6 MB.
@@ -40,7 +41,9 @@ from larder.llm.common import documents, stored, worker_tool
 
 A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
-MEMO_ENTRIES = 120_000
+MEMO_ENTRIES = 200_000
+LEARN = 4096  # new chunks that are aligned in one text
+GROUP_CHARS = 1 << 18  # of texts whose chunks are looked up together
 MEMO_CHARS = 48
 PAIR_BASE = 1 << 16  # a link is stored as b * PAIR_BASE + a
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -68,12 +71,15 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = byte_level_alphabet()
-        self.a_bytes = {i: self._a_bytes(t, alphabet) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        known = {i: self._a_bytes(t, alphabet) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if max(self.a_bytes, default=0) >= PAIR_BASE:
+        if max(known, default=0) >= PAIR_BASE:
             raise ValueError("links are stored for A vocabularies of up to 65,536 tokens")
+        self.a_bytes = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in known]) for known in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
         with open(a_path, encoding="utf-8") as f:
             splits = json.load(f).get("pre_tokenizer") or {}
         self.by_chunk = splits.get("type") == "ByteLevel" and not any(SPAN_OF_BLANK.search(p) or "\n" in p for p in pieces)
@@ -85,85 +91,117 @@ class Aligner:
         known = [alphabet.get(c) for c in token]
         return token.encode() if None in known else bytes(known)
 
-    def _ends(self, spans: list[tuple[int, int]], data: list[bytes], to_byte, lead: int) -> list[int]:
+    @staticmethod
+    def _ends(spans: np.ndarray, to_byte: np.ndarray | None, sizes: np.ndarray, lead: int) -> np.ndarray:
         """The byte at which each token ends: its span's end, or, where tokens share a character,
-        the end of the token before and the token's own bytes."""
-        ends, at, last = [], 0, len(spans) - 1
-        for i, (start, end) in enumerate(spans):
-            alone = start < end and (i == last or spans[i + 1][0] >= end) and (i == 0 or spans[i - 1][1] <= start)
-            at = lead + (end if to_byte is None else to_byte[end]) if alone else at + len(data[i])
-            ends.append(at)
-        return ends
-
-    def align(self, text: str, inside: bool = False) -> tuple | None:
-        """n_a, n_b, n_groups, links and groups of a space and ``text``, or of ``text`` itself where
-        it begins with the line feed that cuts it off from a text (``inside``); None when a
-        tokenizer doesn't give the bytes back."""
-        whole = text if inside else " " + text
+        the last such end before and the decoded bytes since."""
+        start, end = spans[:, 0], spans[:, 1]
+        alone = start < end
+        alone[:-1] &= start[1:] >= end[:-1]
+        alone[1:] &= end[:-1] <= start[1:]
+        coarse = lead + (end if to_byte is None else to_byte[end])
+        if alone.all():
+            return coarse
+        sums = np.cumsum(sizes)
+        known = np.maximum.accumulate(np.where(alone, np.arange(len(alone)), -1))
+        return sums + np.where(known < 0, 0, coarse[known] - sums[known])
+
+    def tokens(self, text: str) -> tuple | None:
+        """Both tokenizers' ids of a space and ``text`` with the byte at which each token ends;
+        None when one doesn't give the bytes back."""
+        whole = " " + text
         raw = whole.encode()
         seen = self.a.encode(whole, add_special_tokens=False)
-        a_ids, a_spans = seen.ids, seen.offsets
-        a_data = [self.a_bytes[i] for i in a_ids]
-        pieces = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
-        if inside:  # the blank added before the line feed is a token of its own
-            if pieces[0][1:] != (0, 0) or self.b_bytes[pieces[0][0]] != b" ":
-                return None
-            del pieces[0]
-        b_ids = [p[0] for p in pieces]
-        b_data = [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_data) != raw or b"".join(b_data) != raw:
+        a_ids, a_spans = seen.ids, np.array(seen.offsets)
+        b_spans = np.array([(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces])
+        b_ids = b_spans[:, 0].tolist()
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
             return None
         to_byte = None
         if len(raw) != len(whole):
-            widths = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
-            widths = 1 + (widths > 0x7F) + (widths > 0x7FF) + (widths > 0xFFFF)
-            to_byte = [0, *np.cumsum(widths).tolist()]
-        a_ends = self._ends(a_spans, a_data, to_byte, 0)
-        b_ends = self._ends([p[1:] for p in pieces], b_data, None, 0 if inside else 1)
+            points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+            to_byte = np.append(0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)))
+        a_ends = self._ends(a_spans, to_byte, self.a_sizes[a_ids], 0)
+        b_ends = self._ends(b_spans[:, 1:], None, self.b_sizes[b_ids], 1)
         if a_ends[-1] != len(raw) or b_ends[-1] != len(raw):
             raise ValueError("spans and decoded bytes disagree")
-        groups, links, i, j = [], [], 0, 0
-        for cut in sorted(set(a_ends) & set(b_ends)):
-            i0, j0 = i, j
-            while i < len(a_ends) and a_ends[i] <= cut:
-                i += 1
-            while j < len(b_ends) and b_ends[j] <= cut:
-                j += 1
-            groups.append(",".join(map(str, a_ids[i0:i])) + "|" + ",".join(map(str, b_ids[j0:j])))
-            links.append(b_ids[j - 1] * PAIR_BASE + a_ids[i - 1])
-        return len(a_ids), len(b_ids), len(groups), np.array(links, dtype=np.int64).tobytes(), ";".join(groups)
-
-    def _chunk(self, chunk: str) -> tuple | None:
-        """The alignment of a chunk: a word after a blank, or a line feed and a word."""
-        known = self.old.get(chunk)
-        if known is None:
-            known = self.align(chunk, inside=chunk[0] == "\n")
-            if len(chunk) > MEMO_CHARS or known is None:
-                return known
-        if len(self.young) >= MEMO_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young[chunk] = known
-        return known
-
-    def __call__(self, text: str | None) -> tuple:
-        """n_a, n_b, n_groups, links as bytes and groups of a text."""
-        if not text:
-            return EMPTY
-        if not self.by_chunk:
-            return self.align(text) or EMPTY
+        return a_ids, a_ends, b_ids, b_ends
+
+    def align(self, text: str, borders: list[int] | None = None) -> list[tuple] | None:
+        """The alignment (n_a, n_b, n_groups, links, groups) of a space and ``text``, or of each part
+        of it where ``borders`` gives the bytes at which parts end."""
+        found = self.tokens(text)
+        if found is None:
+            return None
+        a_ids, a_ends, b_ids, b_ends = found
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        links = (np.array(b_ids, dtype=np.int64)[b_last] * PAIR_BASE + np.array(a_ids, dtype=np.int64)[a_last]).tobytes()
+        a_upto, b_upto = (a_last + 1).tolist(), (b_last + 1).tolist()
+        a_names, b_names = list(map(self.names.__getitem__, a_ids)), list(map(self.names.__getitem__, b_ids))
+        groups, i, j = [], 0, 0
+        for x, y in zip(a_upto, b_upto, strict=True):
+            groups.append(",".join(a_names[i:x]) + "|" + ",".join(b_names[j:y]))
+            i, j = x, y
+        at = [len(cuts)] if borders is None else (np.searchsorted(cuts, borders) + 1).tolist()
+        if borders is not None and not np.isin(borders, cuts).all():
+            return None
+        out, g, i, j = [], 0, 0, 0
+        for k in at:
+            x, y = a_upto[k - 1], b_upto[k - 1]
+            out.append((x - i, y - j, k - g, links[8 * g:8 * k], ";".join(groups[g:k])))
+            g, i, j = k, x, y
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Aligns chunks in one text and remembers them; None stands for one that has no tokens."""
+        if chunks[0][0] == "\n":  # a text begins with a word
+            chunks = ["a", *chunks]
+        parts = [c if c[0] == "\n" else " " + c for c in chunks]
+        found = self.align("".join(parts)[1:], np.cumsum([len(x.encode()) for x in parts]).tolist())
+        if found is None and len(chunks) > 1:
+            half = (len(chunks) + 1) // 2
+            if chunks[0] == "a" and len(chunks) == 2:
+                found = [EMPTY, None]
+            else:
+                self._learn(chunks[:half])
+                self._learn(chunks[half:])
+                return
+        self.young.update(zip(chunks, found or [None], strict=True))
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """Words without the blank before them, and line feeds with the word after them."""
         if plain_spaces(text):
-            chunks = text.replace("\n", " \n").split(" ")
-        else:
-            first, *rest = CUT.split(text)
-            chunks = [None if first[0].isspace() else first, *(c[1:] if c[0] == " " else c for c in rest)]
-        young, slow = self.young, self._chunk
-        parts = [young.get(c) or slow(c) for c in chunks if c is not None]
-        if chunks[0] is None:
-            parts.insert(0, self.align(first))
-        if None in parts:  # rare: let the whole text decide
-            return self.align(text) or EMPTY
-        n_a, n_b, n_groups, links, groups = zip(*parts, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), b"".join(links), ";".join(groups)
+            return text.replace("\n", " \n").split(" ")
+        first, *rest = CUT.split(text)
+        return [first, *(c[1:] if c[0] == " " else c for c in rest)]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        """n_a, n_b, n_groups, links as bytes and groups of each text."""
+        if not self.by_chunk:
+            return [(self.align(t) or [EMPTY])[0] if t else EMPTY for t in texts]
+        split = [self._chunks(t) if t and not t[0].isspace() else None for t in texts]
+        if len(self.young) >= MEMO_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set().union(*(c for c in split if c)).difference(young)
+        young.update((c, old[c]) for c in new if c in old)
+        new = [c for c in new if c not in young]
+        for at in range(0, len(new), LEARN):
+            self._learn(new[at:at + LEARN])
+        out = []
+        for text, chunks in zip(texts, split, strict=True):
+            parts = [young[c] for c in chunks] if chunks else [None]
+            if None in parts:  # rare: the whole text decides
+                out.append((self.align(text) or [EMPTY])[0] if text else EMPTY)
+                continue
+            n_a, n_b, n_groups, links, groups = zip(*parts, strict=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(links), ";".join(groups)))
+        for c in new:
+            if len(c) > MEMO_CHARS:
+                del young[c]
+        return out
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -175,7 +213,14 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text_col:
     def run(batches):
         aligner = worker_tool(("token spans", a_path, b_path), lambda: Aligner(a_path, b_path))
         for batch in batches:
-            found = [aligner(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found, held, chars = [], [], 0
+            for text in batch.column(batch.num_columns - 1):
+                held.append(text.as_py())
+                chars += len(held[-1] or "")
+                if chars >= GROUP_CHARS:
+                    found += aligner(held)
+                    held, chars = [], 0
+            found += aligner(held)
             n_a, n_b, n_groups, links, groups = zip(*found, strict=True) if found else ([],) * 5
             ends = np.cumsum([0, *n_groups], dtype=np.int64).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(links), dtype=np.int64))

@@ -96,15 +96,19 @@ def test_chunks_and_whole_texts_agree(spark):
     whole.by_chunk = False
     texts = AWKWARD + [d.text for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     for text in texts:
-        assert by_chunk(text) == whole(text), text[:80]
+        assert by_chunk([text]) == whole([text]), text[:80]
+    assert by_chunk(texts) == whole(texts)
 
 
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(token_align, "MEMO_ENTRIES", 8)
     aligner = token_align.Aligner(*PATHS)
     text = " ".join(f"word{i % 37}" for i in range(400))
-    first = aligner(text)
-    assert aligner(text) == first and len(aligner.young) <= 8 and len(aligner.old) <= 8
+    first = aligner([text])
+    assert aligner([text]) == first == token_align.Aligner(*PATHS)([text])
+    for i in range(20):  # what was met before the last two generations is forgotten
+        aligner([f"new{i} new{i + 1}", "x" * 60 + f" {i}"])
+    assert len(aligner.young) <= 16 and len(aligner.old) <= 16 and not any(len(c) > 48 for c in aligner.young)
 
 
 def test_shape_and_empty_table(spark):
