@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from larder.llm import (
-    bm25_wand, bpe_fst, credential_links, grace_dedup, lattice_lm, mixture, ngram_join, quality_cascade, simple8b, slots,
-    token_align, weak_labels,
+    bm25_wand, bpe_fst, credential_links, grace_dedup, lattice_lm, mixture, ngram_join, phrase_mining, quality_cascade,
+    simple8b, slots, token_align, weak_labels,
 )
 
 QUERIES = {
@@ -20,10 +20,12 @@ QUERIES = {
     "op10_virtual_slots": slots.query,
     "op11_token_align": token_align.query,
     "op12_grace_dedup": grace_dedup.query,
+    "op13_phrase_mining": phrase_mining.query,
 }
 
 ORACLE = {
     "op4_quality_cascade": quality_cascade.ORACLE,
     "op11_token_align": token_align.query,
     "op12_grace_dedup": grace_dedup.ORACLE,
+    "op13_phrase_mining": phrase_mining.ORACLE,
 }
