@@ -41,7 +41,7 @@ from larder.llm.common import documents, stored, worker_tool
 
 A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 120_000
 LEARN = 4096  # new chunks that are aligned in one text
 GROUP_CHARS = 1 << 18  # of texts whose chunks are looked up together
 MEMO_CHARS = 48
@@ -210,23 +210,24 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text_col:
     made = ["n_a", "n_b", "n_groups", "groups", "links"]
     keep = [c for c in keep if c.lower() not in made]
 
+    def rows(aligner, part, texts):
+        n_a, n_b, n_groups, links, groups = zip(*aligner(texts), strict=True)
+        ends = np.cumsum([0, *n_groups], dtype=np.int64).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(links), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([
+            *part.columns[:-1], pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()),
+            pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*part.schema.names[:-1], *made])
+
     def run(batches):
         aligner = worker_tool(("token spans", a_path, b_path), lambda: Aligner(a_path, b_path))
         for batch in batches:
-            found, held, chars = [], [], 0
-            for text in batch.column(batch.num_columns - 1):
-                held.append(text.as_py())
-                chars += len(held[-1] or "")
-                if chars >= GROUP_CHARS:
-                    found += aligner(held)
-                    held, chars = [], 0
-            found += aligner(held)
-            n_a, n_b, n_groups, links, groups = zip(*found, strict=True) if found else ([],) * 5
-            ends = np.cumsum([0, *n_groups], dtype=np.int64).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(links), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:-1], pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()),
-                pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*batch.schema.names[:-1], *made])
+            texts, start, chars = [], 0, 0
+            for i, text in enumerate(batch.column(batch.num_columns - 1), 1):
+                texts.append(text.as_py())
+                chars += len(texts[-1] or "")
+                if chars >= GROUP_CHARS or i == batch.num_rows:  # groups are several times as long as texts
+                    yield rows(aligner, batch.slice(start, i - start), texts)
+                    texts, start, chars = [], i, 0
 
     kinds = ["long", "long", "long", "string", "array<long>"]
     schema = docs.select(*keep, *[F.lit(None).cast(k).alias(n) for n, k in zip(made, kinds, strict=True)]).schema
