@@ -41,14 +41,13 @@ from larder.llm.common import documents, stored, worker_tool
 
 A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
-MEMO_ENTRIES = 120_000
+MEMO_ENTRIES = 200_000
 LEARN = 4096  # new chunks that are aligned in one text
 GROUP_CHARS = 1 << 18  # of texts whose chunks are looked up together
 MEMO_CHARS = 48
 PAIR_BASE = 1 << 16  # a link is stored as b * PAIR_BASE + a
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 SPAN_OF_BLANK = re.compile("[^▁]▁")
-EMPTY = (0, 0, 0, b"", "")
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -79,12 +78,13 @@ class Aligner:
             raise ValueError("links are stored for A vocabularies of up to 65,536 tokens")
         self.a_bytes = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in known]) for known in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
+        marks = ",|,;"  # after a token of A, the group's last of A, a token of B, the group's last of B
+        self.spelled = pa.array([f"{i}{m}" for i in range(max(len(self.a_bytes), len(pieces))) for m in marks])
         with open(a_path, encoding="utf-8") as f:
             splits = json.load(f).get("pre_tokenizer") or {}
         self.by_chunk = splits.get("type") == "ByteLevel" and not any(SPAN_OF_BLANK.search(p) or "\n" in p for p in pieces)
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     @staticmethod
     def _a_bytes(token: str, alphabet: dict[str, int]) -> bytes:
@@ -127,42 +127,39 @@ class Aligner:
             raise ValueError("spans and decoded bytes disagree")
         return a_ids, a_ends, b_ids, b_ends
 
-    def align(self, text: str, borders: list[int] | None = None) -> list[tuple] | None:
-        """The alignment (n_a, n_b, n_groups, links, groups) of a space and ``text``, or of each part
-        of it where ``borders`` gives the bytes at which parts end."""
+    def align(self, text: str, borders: np.ndarray | None = None) -> list[bytes] | None:
+        """The alignment of a space and ``text``, or of each part of it where ``borders`` gives the bytes
+        at which parts end: its tokens as 32-bit integers, group by group, A's before B's, each an id
+        and two bits, the lower for the last of its side in the group and the upper for B."""
         found = self.tokens(text)
         if found is None:
             return None
         a_ids, a_ends, b_ids, b_ends = found
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        a_last, b_last = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
-        links = (np.array(b_ids, dtype=np.int64)[b_last] * PAIR_BASE + np.array(a_ids, dtype=np.int64)[a_last]).tobytes()
-        a_upto, b_upto = (a_last + 1).tolist(), (b_last + 1).tolist()
-        a_names, b_names = list(map(self.names.__getitem__, a_ids)), list(map(self.names.__getitem__, b_ids))
-        groups, i, j = [], 0, 0
-        for x, y in zip(a_upto, b_upto, strict=True):
-            groups.append(",".join(a_names[i:x]) + "|" + ",".join(b_names[j:y]))
-            i, j = x, y
-        at = [len(cuts)] if borders is None else (np.searchsorted(cuts, borders) + 1).tolist()
-        if borders is not None and not np.isin(borders, cuts).all():
+        sides = []
+        for ids, ends, side in ((a_ids, a_ends, 0), (b_ids, b_ends, 2)):
+            group = np.searchsorted(cuts, ends)
+            sides.append((2 * group + side // 2, np.array(ids, dtype=np.int32) << 2 | side | (cuts[group] == ends)))
+        order = np.argsort(np.concatenate([place for place, _ in sides]), kind="stable")
+        data = np.concatenate([marked for _, marked in sides])[order].astype(np.int32).tobytes()
+        if borders is None:
+            return [data]
+        if not np.isin(borders, cuts).all():
             return None
-        out, g, i, j = [], 0, 0, 0
-        for k in at:
-            x, y = a_upto[k - 1], b_upto[k - 1]
-            out.append((x - i, y - j, k - g, links[8 * g:8 * k], ";".join(groups[g:k])))
-            g, i, j = k, x, y
-        return out
+        upto = 4 * (np.searchsorted(a_ends, borders, side="right") + np.searchsorted(b_ends, borders, side="right"))
+        upto = [0, *upto.tolist()]
+        return [data[i:j] for i, j in zip(upto, upto[1:], strict=False)]
 
     def _learn(self, chunks: list[str]) -> None:
         """Aligns chunks in one text and remembers them; None stands for one that has no tokens."""
         if chunks[0][0] == "\n":  # a text begins with a word
             chunks = ["a", *chunks]
         parts = [c if c[0] == "\n" else " " + c for c in chunks]
-        found = self.align("".join(parts)[1:], np.cumsum([len(x.encode()) for x in parts]).tolist())
+        found = self.align("".join(parts)[1:], np.cumsum([len(x.encode()) for x in parts]))
         if found is None and len(chunks) > 1:
             half = (len(chunks) + 1) // 2
             if chunks[0] == "a" and len(chunks) == 2:
-                found = [EMPTY, None]
+                found = [b"", None]
             else:
                 self._learn(chunks[:half])
                 self._learn(chunks[half:])
@@ -177,10 +174,10 @@ class Aligner:
         first, *rest = CUT.split(text)
         return [first, *(c[1:] if c[0] == " " else c for c in rest)]
 
-    def __call__(self, texts: list[str | None]) -> list[tuple]:
-        """n_a, n_b, n_groups, links as bytes and groups of each text."""
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The alignment of each text; empty for one without tokens."""
         if not self.by_chunk:
-            return [(self.align(t) or [EMPTY])[0] if t else EMPTY for t in texts]
+            return [(self.align(t) or [b""])[0] if t else b"" for t in texts]
         split = [self._chunks(t) if t and not t[0].isspace() else None for t in texts]
         if len(self.young) >= MEMO_ENTRIES:
             self.young, self.old = {}, self.young
@@ -192,17 +189,33 @@ class Aligner:
             self._learn(new[at:at + LEARN])
         out = []
         for text, chunks in zip(texts, split, strict=True):
-            parts = [young[c] for c in chunks] if chunks else [None]
+            parts = list(map(young.__getitem__, chunks)) if chunks else [None]
             if None in parts:  # rare: the whole text decides
-                out.append((self.align(text) or [EMPTY])[0] if text else EMPTY)
-                continue
-            n_a, n_b, n_groups, links, groups = zip(*parts, strict=True)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(links), ";".join(groups)))
+                out.append((self.align(text) or [b""])[0] if text else b"")
+            else:
+                out.append(b"".join(parts))
         for c in new:
             if len(c) > MEMO_CHARS:
                 del young[c]
         return out
 
+    def columns(self, texts: list[str | None]) -> list[pa.Array]:
+        """n_a, n_b, n_groups, groups and links of the texts."""
+        found = self(texts)
+        marked = np.frombuffer(b"".join(found), dtype=np.int32)
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+        kind, ids = marked & 3, (marked >> 2).astype(np.int64)
+        counts = []
+        for mine in (kind < 2, kind >= 2, kind == 3):
+            counts.append(np.diff(np.append(0, np.cumsum(mine))[ends]))
+        links = ids[kind == 3] * PAIR_BASE + ids[kind == 1]
+        spelled = self.spelled.take(pa.array(marked))
+        data, at = spelled.buffers()[2], np.frombuffer(spelled.buffers()[1], dtype=np.int32)[:len(marked) + 1][ends].tolist()
+        data = data.to_pybytes() if data is not None else b""
+        groups = [data[i:max(i, j - 1)].decode() for i, j in zip(at, at[1:], strict=False)]  # no mark after the last
+        upto = np.append(0, np.cumsum(counts[2])).astype(np.int32)
+        return [*(pa.array(c, pa.int64()) for c in counts), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(upto), pa.array(links))]
+
 
 def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns of ``docs`` with ``n_a, n_b, n_groups``, ``groups`` in the form
@@ -211,12 +224,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str], text_col:
     keep = [c for c in keep if c.lower() not in made]
 
     def rows(aligner, part, texts):
-        n_a, n_b, n_groups, links, groups = zip(*aligner(texts), strict=True)
-        ends = np.cumsum([0, *n_groups], dtype=np.int64).astype(np.int32)
-        flat = pa.array(np.frombuffer(b"".join(links), dtype=np.int64))
-        return pa.RecordBatch.from_arrays([
-            *part.columns[:-1], pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()),
-            pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*part.schema.names[:-1], *made])
+        return pa.RecordBatch.from_arrays([*part.columns[:-1], *aligner.columns(texts)], names=[*part.schema.names[:-1], *made])
 
     def run(batches):
         aligner = worker_tool(("token spans", a_path, b_path), lambda: Aligner(a_path, b_path))
