@@ -182,8 +182,8 @@ def _whole(value: Column) -> Column:
     return F.rint(value).cast("long").cast("string")
 
 
-def route_validated(df: DataFrame, enrichment: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Split validated rows into accepted nutrition and issues.
+def route_validated(df: DataFrame, enrichment: bool = False, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Split validated rows into accepted nutrition and issues, which have the ``keep`` columns too.
 
     Rejected rows become error issues and accepted rows with warnings become warning issues.
     In enrichment a reject is only a warning, with a prefix, and accepted rows log nothing.
@@ -191,14 +191,14 @@ def route_validated(df: DataFrame, enrichment: bool = False) -> tuple[DataFrame,
     accepted = df.filter("ok")
     if enrichment:
         issues = df.filter(~F.col("ok")).select(
-            "variant_id", F.lit("validate").alias("stage"), F.lit("warning").alias("severity"),
+            "variant_id", *keep, F.lit("validate").alias("stage"), F.lit("warning").alias("severity"),
             F.concat(F.lit("OFF enrichment: "), error_messages()).alias("message"),
             F.array_join("errors", ",").alias("codes"),
         )
     else:
         flagged = df.filter((F.size("errors") > 0) | (F.size("warnings") > 0))
         issues = flagged.select(
-            "variant_id", F.lit("validate").alias("stage"),
+            "variant_id", *keep, F.lit("validate").alias("stage"),
             F.when(F.col("ok"), "warning").otherwise("error").alias("severity"),
             F.when(F.col("ok"), warning_messages()).otherwise(error_messages()).alias("message"),
             F.array_join(F.when(F.col("ok"), F.col("warnings")).otherwise(F.col("errors")), ",").alias(

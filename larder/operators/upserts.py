@@ -99,8 +99,9 @@ def append_price_observations(observations: DataFrame, path: str) -> None:
     spread.write.mode("append").partitionBy("captured_month").parquet(path)
 
 
-def append_issues(issues: DataFrame, path: str) -> None:
-    issues.write.mode("append").partitionBy("stage").parquet(path)
+def append_issues(issues: DataFrame, path: str, run: str) -> None:
+    """Append the issues of one run, by stage; a run that is written again replaces its own."""
+    issues.write.mode("overwrite").partitionBy("stage").parquet(f"{path}/run={run}")
 
 
 def expire_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

@@ -68,6 +68,17 @@ RESOLVE = (
     "resolved AS (SELECT variant_id, listing_id, upc, dedup_key, coalesce(known_key, shared_key, own_key) AS product_key, known_key IS NOT NULL AS by_existing_upc FROM incoming JOIN own USING (listing_id) LEFT JOIN decided USING (listing_id))"
 )
 
+CHAINS = (
+    "pairs AS (SELECT DISTINCT 'u' || i.upc AS a, 'k' || own_key AS b FROM incoming i JOIN own USING (listing_id) WHERE i.upc IS NOT NULL "
+    "UNION SELECT 'u' || upc, 'k' || dedup_key FROM keyed WHERE sk < 2 AND upc IS NOT NULL),\n"
+    "links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),\n"
+    "reach AS (SELECT DISTINCT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),\n"
+    "old_keys AS (SELECT DISTINCT dedup_key FROM keyed WHERE sk < 2),\n"
+    "reached AS (SELECT substr(node, 2) AS own_key, substr(other, 2) AS key FROM reach WHERE node LIKE 'k%' AND other LIKE 'k%' "
+    "UNION SELECT own_key, own_key FROM own),\n"
+    "chosen AS (SELECT own_key, arg_min(key, (CASE WHEN key IN (SELECT dedup_key FROM old_keys) THEN 'a' ELSE 'b' END) || key) AS product_key FROM reached GROUP BY own_key)"
+)
+
 
 def rule(condition: str, *columns: str) -> str:
     return with_catalog(f"SELECT variant_id, {', '.join(columns)} FROM candidates WHERE {condition}")
@@ -97,6 +108,10 @@ ORACLE = {
     "dedup_key_parts": f"SELECT p_partkey AS product_id, {p.dedup_key('p_brand', 'p_name')} AS dedup_key FROM part",
     "gtin_normalize": with_catalog("SELECT variant_id, lpad(ltrim(upc, '0'), 14, '0') AS gtin FROM variants"),
     "resolve_products": with_keys("SELECT * FROM resolved", TITLES, RESOLVE),
+    "resolve_product_chains": with_keys(
+        "SELECT variant_id, listing_id, upc, dedup_key, product_key, product_key IN (SELECT dedup_key FROM old_keys) AS existing "
+        "FROM incoming JOIN own USING (listing_id) JOIN chosen USING (own_key)", TITLES, RESOLVE, CHAINS
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "resolve_identity": with_keys(
         "SELECT product_key, count(*) AS offers, count(*) FILTER (WHERE by_existing_upc) AS by_upc FROM resolved GROUP BY 1", TITLES, RESOLVE
     ),

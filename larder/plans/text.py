@@ -79,15 +79,19 @@ def standardise_listings(cat: StarCatalog) -> DataFrame:
     )
 
 
-def resolved(cat: StarCatalog) -> DataFrame:
-    """Incoming offers of every source but the earliest two, against those sources' barcodes."""
+def keyed_titles(cat: StarCatalog) -> DataFrame:
     keyed = titles(cat).withColumns(
         {"dedup_key": identity.product_dedup_key(F.col("brand"), F.col("title")), "upc": F.expr(fx.UPC)}
     )
-    keyed = keyed.select(
+    return keyed.select(
         "variant_id", "sk", "upc", "dedup_key", F.expr("pk % 3").alias("position"),
         F.concat_ws("-", "sk", F.expr("pk div 3")).alias("listing_id"),  # three variants to a listing
     )
+
+
+def resolved(cat: StarCatalog) -> DataFrame:
+    """Incoming offers of every source but the earliest two, against those sources' barcodes."""
+    keyed = keyed_titles(cat)
     known = keyed.filter((F.col("sk") < 2) & F.col("upc").isNotNull()).groupBy("upc").agg(
         F.min("dedup_key").alias("product_key")
     )
@@ -95,6 +99,13 @@ def resolved(cat: StarCatalog) -> DataFrame:
     return resolve.resolve_products(incoming, known).drop("position")
 
 
+def resolved_chains(cat: StarCatalog) -> DataFrame:
+    """The same offers where listings that barcodes tie together in any number of steps are one product."""
+    keyed = keyed_titles(cat)
+    known = keyed.filter("sk < 2").select(F.col("dedup_key").alias("product_key"), "upc")
+    return resolve.resolve_chains(keyed.filter("sk >= 2").drop("sk"), known).drop("position")
+
+
 def told_documents(cat: StarCatalog) -> DataFrame:
     docs = stage(documents(cat), {"ingredients": facets.extract_ingredients(F.col("body"))})
     return facets.add_facts(docs, F.col("ingredients"), F.col("body"))
@@ -186,6 +197,7 @@ QUERIES = {
     "dedup_key_parts": lambda cat: cat.products.select("product_id", "dedup_key"),
     "gtin_normalize": lambda cat: cat.variants.select("variant_id", identity.gtin_normalize(F.col("upc")).alias("gtin")),
     "resolve_products": resolved,
+    "resolve_product_chains": resolved_chains,
     "resolve_identity": lambda cat: resolved(cat).groupBy("product_key").agg(
         F.count(F.lit(1)).alias("offers"), F.count_if("by_existing_upc").alias("by_upc")),
     "classify_category": lambda cat: lowered(cat).select("doc_id", facets.classify_category(F.col("low")).alias("category")),

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import identity
-from larder.operators import metrics, upserts
+from larder.operators import detail, foreign_keys, metrics, upserts
+from larder.operators.ingest import Ingestion
 from larder.operators.upserts import POLICIES, upsert
 from larder.plans.catalog import flat, validated
+from larder.plans.payloads import landed_families
 from larder.operators.quality import route_validated, validate_nutrition
 from larder.session import shared_folder
 from larder.sources import fixtures as fx
 from larder.sources.adapter import StarCatalog
+from larder.sources.bucketed import BucketedCatalog
 from larder.streaming import jobs
 
 SPLIT = "1998-01-01"
@@ -128,6 +131,66 @@ def written_prices(cat: StarCatalog) -> DataFrame:
     )
 
 
+def written_issues(cat: StarCatalog) -> DataFrame:
+    """The issues of a run through their sink, written twice, read back and counted."""
+    path = os.path.join(shared_folder(cat.spark), f"issues-{uuid.uuid4().hex}")
+    issues = route_validated(validated(cat))[1]
+    for run in ("1", "1"):
+        upserts.append_issues(issues, path, run)
+    return cat.spark.read.parquet(path).groupBy("stage", "severity", "codes").agg(F.count(F.lit(1)).alias("issues"))
+
+
+BROKEN = "(pk + sk) % 61 = 0"  # payloads that arrive cut off
+
+
+def cut_off(cat: StarCatalog) -> dict[str, DataFrame]:
+    """The landed payloads of every family; some of each end in the middle."""
+    def cut(rows: DataFrame) -> DataFrame:
+        body = "html" if "html" in rows.columns else "payload"
+        if body == "html":
+            half = F.regexp_replace("html", r"\}+\]?\}*</script>", "</script>")
+        else:
+            half = F.expr("left(payload, length(payload) - 1)")
+        return rows.withColumn(body, F.when(F.expr(BROKEN), half).otherwise(F.col(body)))
+
+    return {kind: cut(rows) for kind, rows in landed_families(cat).items()}
+
+
+def ingested(cat: StarCatalog, *runs: tuple[str, str]) -> Ingestion:
+    """The landed payloads taken in by runs of these ids and times."""
+    made = Ingestion(cat.spark, os.path.join(shared_folder(cat.spark), f"catalog-{uuid.uuid4().hex}"))
+    for run_id, captured_at in runs:
+        made.run(cut_off(cat), cat.sources, run_id, captured_at)
+    return made
+
+
+FIRST, SECOND = ("r1", "2030-01-01"), ("r2", "2030-01-02")
+
+
+def ingest_catalog(cat: StarCatalog) -> DataFrame:
+    """Every offer of the catalog that one run made, read through the listing view."""
+    view = metrics.listing_metrics(ingested(cat, FIRST).catalog())
+    return view.select("source_slug", "market", "url", "price_cents", "currency", "in_stock", "compare_at_price_cents", "size_g",
+                       "protein_g", "servings_per_container", "confidence")
+
+
+def ingest_issues(cat: StarCatalog) -> DataFrame:
+    issues = ingested(cat, FIRST).stored("issues")
+    reason = F.when(F.col("stage") == "extract", F.col("message"))
+    return issues.groupBy("source_id", "stage", "severity", reason.alias("reason")).agg(
+        F.count("payload").alias("issues"), F.count("url").alias("with_url"))
+
+
+def ingest_replay(cat: StarCatalog) -> DataFrame:
+    """Rows of the tables after two runs, the first of them taken in twice."""
+    made = ingested(cat, FIRST, FIRST, SECOND)
+    parts = [made.table(t).select(F.lit(t).alias("table")) for t in ("listings", "variants", "price_observations", "issues")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionAll(part)
+    return rows.groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+
+
 def surviving(cat: StarCatalog) -> DataFrame:
     """Variants left after deleting the sources that are switched off."""
     alive = cat.sources.filter(F.coalesce("enabled", F.lit(True)))
@@ -142,6 +205,45 @@ def issues_after_delete(cat: StarCatalog) -> DataFrame:
     return upserts.forget_parent(issues, alive, "source_id").select("variant_id", "codes", "source_id")
 
 
+def delete_cascade(cat: StarCatalog) -> DataFrame:
+    """What every table holds after deleting sources that are switched off, some products and some listings."""
+    owner = F.split_part("variant_id", F.lit("-"), F.lit(2)).cast("long")
+    issues = route_validated(validated(cat))[1].select("variant_id", owner.alias("source_id"))
+    tables = {name: getattr(cat, name) for name in ("sources", "brands", "products", "listings", "variants", "nutrition", "facts", "prices")}
+    doomed = {
+        "sources": cat.sources.filter("NOT coalesce(enabled, true)"), "products": cat.products.filter("product_id % 50 = 0"),
+        "listings": cat.listings.filter("(product_id + source_id) % 90 = 0"), "brands": cat.brands.filter("name = 'Brand#3'"),
+    }
+    left = foreign_keys.delete(tables | {"issues": issues}, doomed)
+    ids = {"sources": "source_id", "brands": "brand_id", "products": "product_id", "listings": "listing_id", "issues": "source_id"}
+    parts = [
+        rows.groupBy(F.col(ids.get(name, "variant_id")).cast("string").alias("id")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("table"), "id", "n")
+        for name, rows in left.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def bucketed(cat: StarCatalog) -> BucketedCatalog:
+    name = f"history_{uuid.uuid4().hex}"
+    return BucketedCatalog(cat, name, os.path.join(shared_folder(cat.spark), name))
+
+
+def bucketed_latest(cat: StarCatalog) -> DataFrame:
+    """Latest price and nutrition of every variant, from tables laid out by variant."""
+    stored = bucketed(cat)
+    priced = metrics.join_latest_price(stored.variants.select("variant_id", "flavor"), stored.prices)
+    return metrics.join_optional_nutrition(priced, stored.nutrition).select("variant_id", "flavor", "price_cents", "captured_at", "protein_g")
+
+
+def bucketed_history(cat: StarCatalog) -> DataFrame:
+    stored = bucketed(cat)
+    return detail.history_for_variants(stored.prices, stored.variants.filter("flavor = 'Vanilla'")).select(
+        "variant_id", "price_cents", "captured_at")
+
+
 # ---- Streams, run over everything that is available and then stopped ----------------------------
 
 
@@ -209,10 +311,16 @@ QUERIES = {
     "upsert_facts": upsert_facts,
     "append_price_observations": appended_prices,
     "append_price_sink": written_prices,
-    "append_issues": lambda cat: route_validated(validated(cat))[1].groupBy("stage", "severity", "codes").agg(
-        F.count(F.lit(1)).alias("issues")),
+    "append_issues": written_issues,
+    "ingest_run": lambda cat: ingested(cat, FIRST).stats("r1"),
+    "ingest_catalog": ingest_catalog,
+    "ingest_issues": ingest_issues,
+    "ingest_replay": ingest_replay,
     "expire_orphans": surviving,
     "expire_orphans_issues": issues_after_delete,
+    "delete_cascade": delete_cascade,
+    "latest_price_bucketed": bucketed_latest,
+    "history_for_variants_bucketed": bucketed_history,
     "stream_price_append": stream_price_append,
     "stream_latest_price": stream_latest_price,
     "stream_catalog_upsert": stream_catalog_upsert,
