@@ -37,6 +37,18 @@ def grid(market: str, column: str, descending: bool, needs: bool) -> str:
 
 
 PAGE = "product_id, variant_id, brand_name, product_name, price_cents, retailer_count, offer_count"
+FULL_MATCH = (
+    "market = 'US' AND in_stock AND price_cents <= 8000 AND protein_per_dollar IS NOT NULL AND NOT list_has_any(allergens, ['soy']) "
+    "AND NOT list_has_any(sweeteners, ['sucralose', 'aspartame', 'acesulfame_k', 'saccharin']) "
+    "AND brand_name IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') "
+    "AND (contains(lower(product_name), 'ring') OR contains(lower(brand_name), 'ring'))"
+)
+FULL = (
+    f"matching AS (SELECT * FROM offers WHERE {FULL_MATCH}),\n"
+    "counts AS (SELECT product_id, count(DISTINCT source_slug) AS retailer_count, count(*) AS offer_count FROM matching GROUP BY 1),\n"
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY protein_per_dollar DESC, price_cents, variant_id) AS rn FROM matching) WHERE rn = 1),\n"
+    "grid AS (SELECT b.*, c.retailer_count, c.offer_count, row_number() OVER (ORDER BY protein_per_dollar DESC, price_cents, variant_id) AS rank FROM best b JOIN counts c USING (product_id))"
+)
 US = grid("US", "protein_per_dollar", True, True)
 UK = grid("UK", "protein_per_dollar", True, True)
 US_MATCH = "SELECT * FROM offers WHERE market = 'US' AND protein_per_dollar IS NOT NULL"
@@ -61,6 +73,14 @@ ORACLE: dict[str, str] = {
     "listing_metrics": with_catalog(
         f"SELECT * REPLACE ({TAG_TEXT}) FROM offers"
     ),
+    "listing_metrics_refresh": with_catalog(f"SELECT * REPLACE ({TAG_TEXT}) FROM offers"),
+    "search_trigrams": with_catalog(
+        "SELECT product_id, p.name AS product_name, b.name AS brand_name FROM products p JOIN brands b USING (brand_id) WHERE contains(lower(p.name), 'ring') OR contains(lower(b.name), 'ring')"
+    ),
+    "search_trigram_candidates": with_catalog(
+        "SELECT count(*) FILTER (WHERE (contains(lower(p.name), 'rin') OR contains(lower(b.name), 'rin')) AND (contains(lower(p.name), 'ing') OR contains(lower(b.name), 'ing'))) AS candidates, "
+        "count(*) AS products FROM products p JOIN brands b USING (brand_id)"
+    ),
     "read_catalog_table": with_catalog(
         "SELECT DISTINCT brand_id, category FROM products WHERE contains(name, 'ring')"
     ),
@@ -195,6 +215,8 @@ ORACLE: dict[str, str] = {
         f"SELECT variant_id, product_id, price_cents, protein_per_dollar FROM ({US_MATCH}) ORDER BY protein_per_dollar DESC, price_cents, variant_id LIMIT 200"
     ),
     "page_listings": with_catalog(f"SELECT {PAGE}, protein_per_dollar FROM grid WHERE rank <= 50", UK),
+    "page_listings_rows": with_catalog(f"SELECT * EXCLUDE (rn, rank) REPLACE ({TAG_TEXT}) FROM grid WHERE rank <= 50", FULL),
+    "grouped_listings": with_catalog(f"SELECT * EXCLUDE (rn, rank) REPLACE ({TAG_TEXT}) FROM grid", FULL),
     "page_listings_2": with_catalog(f"SELECT {PAGE}, protein_per_dollar FROM grid WHERE rank BETWEEN 51 AND 100", UK),
     "page_listings_last": with_catalog(
         f"SELECT {PAGE}, rank, (rank - 1) % 50 + 1 AS row FROM grid WHERE (rank - 1) // 50 = (SELECT (max(rank) - 1) // 50 FROM grid)", UK

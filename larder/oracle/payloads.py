@@ -244,6 +244,8 @@ ORACLE: dict[str, str] = {
     "url_concat_dedupe": f"WITH {SITES},\n{URLS} SELECT {URL_COLUMNS} FROM firsts",
     "changed_content": f"SELECT doc_id, {BYTES} AS content_hash FROM documents WHERE lang = 'fr'",
     "powder_filter_shopify": powder(FEED, "pk * 1000 + sk", POWDER_FEED),
+    "powder_filter_by_source": powder(FEED, "pk * 1000 + sk", f"CASE sk % 5 WHEN 0 THEN {p.has(FEED_TEXT, ['supplement', 'shaker'])} AND NOT {p.has(FEED_TEXT, vocab.FEED_EXCLUDE)} "
+                                      f"WHEN 1 THEN contains({FEED_TEXT}, 'protein') AND NOT contains({FEED_TEXT}, 'casein') WHEN 2 THEN {p.has(FEED_TEXT, ['whey', 'vegan'])} ELSE {POWDER_FEED} END"),
     "powder_filter_walmart": powder(AFFILIATE, "item_id", POWDER_AFFILIATE),
     "powder_filter_amazon": powder(MARKETPLACE, "asin", POWDER_MARKETPLACE),
     "powder_filter_kroger": powder(GROCER, "product_code", POWDER_GROCER),

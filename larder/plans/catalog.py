@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.operators import detail, enrich, filters, grouping, metrics, ranking, resolve, stats
+from larder.operators import detail, enrich, filters, grouping, metrics, ranking, refresh, resolve, search, stats
 from larder.operators.filters import FilterSpec
 from larder.operators.metrics import METRICS
 from larder.operators.quality import route_validated, validate_nutrition
+from larder.session import cut_lineage
 from larder.sources import feeds, landed
-from larder.sources.adapter import StarCatalog
+from larder.sources.adapter import Catalog, StarCatalog
 
 Query = Callable[[StarCatalog], DataFrame]
 TAGS = ("dietary_labels", "allergens", "sweeteners")
@@ -48,34 +49,45 @@ PAGE_COLUMNS = ["product_id", "variant_id", "brand_name", "product_name", "price
                 "retailer_count", "offer_count"]
 
 
+def shown(spec: FilterSpec) -> list[str]:
+    return [*PAGE_COLUMNS, *({spec.metric_def.column} - set(PAGE_COLUMNS))]
+
+
 def grid_page(cat: StarCatalog, spec: FilterSpec, page: int = 1) -> DataFrame:
-    shown = ranking.page_listings(grouping.grouped_listings(cat, spec), spec, page)
-    return shown.select(*PAGE_COLUMNS, *({spec.metric_def.column} - set(PAGE_COLUMNS)))
+    """Ranked on keys; names are fetched for the page's rows only."""
+    keys = ranking.page_listings(grouping.grid_keys(cat, spec), spec, page)
+    return grouping.with_names(keys, cat).select(*shown(spec))
+
+
+def grid_page_rows(cat: StarCatalog, spec: FilterSpec, page: int = 1) -> DataFrame:
+    """The page with every column of the view."""
+    keys = ranking.page_listings(grouping.grid_keys(cat, spec), spec, page)
+    return grouping.fetch_offers(cat, keys.select("variant_id", "retailer_count", "offer_count"))
 
 
 def ranked_grid(cat: StarCatalog, spec: FilterSpec) -> DataFrame:
-    return ranking.global_rank(grouping.grouped_listings(cat, spec), ranking.rank_order(spec))
+    return ranking.global_rank(grouping.grid_keys(cat, spec), ranking.rank_order(spec))
 
 
 def full_ranking(cat: StarCatalog, spec: FilterSpec) -> DataFrame:
-    """Every product of the grid with its rank; only what is shown goes through the ranking."""
-    shown = [*PAGE_COLUMNS, *({spec.metric_def.column} - set(PAGE_COLUMNS))]
-    return ranking.global_rank(grouping.grouped_listings(cat, spec).select(*shown), ranking.rank_order(spec))
+    """Every product of the grid with its rank; names are joined to the ranked keys."""
+    return grouping.with_names(ranked_grid(cat, spec), cat).select(*shown(spec), "rank")
 
 
 def last_page(cat: StarCatalog, spec: FilterSpec) -> DataFrame:
-    """The deepest page, cut out of the ranked table by rank instead of by a huge offset."""
+    """The deepest page, cut out of the ranked keys by rank instead of by a huge offset."""
     ranked = ranked_grid(cat, spec)
     number = ranking.page_number(F.col("rank"))
     last = ranked.agg(F.max(number).alias("last"))
-    return ranked.join(F.broadcast(last), number == F.col("last")).select(
+    page = ranked.join(F.broadcast(last), number == F.col("last"))
+    return grouping.with_names(page, cat).select(
         *PAGE_COLUMNS, "rank", ranking.page_row_number(F.col("rank")).alias("row"),
     )
 
 
 def page_table(cat: StarCatalog) -> DataFrame:
     """Every page of the default grid with the positions it shows."""
-    total = grouping.product_total(offers_for(cat, FilterSpec()))
+    total = grouping.product_total(grouping.offer_keys(cat, FilterSpec()))
     pages = total.withColumn(
         "page",
         F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("total") / ranking.PAGE_SIZE)))),
@@ -118,6 +130,67 @@ def enrich_stats(cat: StarCatalog) -> DataFrame:
     return enrich.enrich_stats(missing, accepted, issues, facts)
 
 
+PK = "CAST(split_part(variant_id, '-', 1) AS BIGINT)"
+TODAY = "1998-06-01"
+
+
+class Yesterday(Catalog):
+    """The catalog before rows were inserted, updated and deleted in each of the view's relations."""
+
+    def __init__(self, cat: StarCatalog) -> None:
+        self.spark, self.cat = cat.spark, cat
+        gone = cat.variants.filter(f"{PK} % 41 = 0").select("variant_id")  # variants that lose their twin
+        self.variants = cat.variants.filter(f"{PK} % 17 <> 0").withColumn(
+            "flavor", F.expr(f"CASE WHEN {PK} % 13 = 0 THEN 'Plain' ELSE flavor END")).unionByName(
+            cat.variants.join(gone, "variant_id", "left_semi").withColumn("variant_id", F.concat("variant_id", F.lit("-old"))))
+        seen = cat.prices.filter(F.col("captured_at") < F.lit(TODAY).cast("timestamp_ntz"))
+        self.prices = seen.unionByName(seen.join(gone, "variant_id", "left_semi").withColumn("variant_id", F.concat("variant_id", F.lit("-old"))))
+        more = cat.nutrition.filter(f"{PK} % 9 = 1").withColumn(
+            "variant_id", F.expr(f"concat({PK} - 1, '-', split_part(variant_id, '-', 2))"))
+        self.nutrition = cat.nutrition.filter(f"{PK} % 23 <> 0").withColumn(
+            "protein_g", F.expr(f"protein_g + CASE WHEN {PK} % 19 = 0 THEN 1.0D ELSE 0.0D END")).unionByName(
+            more.join(cat.nutrition, "variant_id", "left_anti"))
+        self.facts = cat.facts.filter(f"{PK} % 11 <> 0")
+        self.listings = cat.listings.withColumns({
+            "url": F.concat("url", F.when(F.col("product_id") % 31 == 0, "?old").otherwise("")),
+            "product_id": F.when(F.col("product_id") % 37 == 1, F.col("product_id") - 1).otherwise(F.col("product_id"))})
+        self.products = cat.products.withColumn("name", F.concat(F.when(F.col("product_id") % 29 == 0, "old ").otherwise(""), F.col("name")))
+        self.brands = cat.brands.withColumn("name", F.when(F.col("name") == "Brand#7", "Seven").otherwise(F.col("name")))
+        self.sources = cat.sources.withColumn("market", F.when(F.col("source_id") % 10 == 3, "IN").otherwise(F.col("market")))
+
+    def deltas(self) -> dict[str, DataFrame]:
+        """The keys of everything that changed since."""
+        cat = self.cat
+        gone = self.variants.filter(F.col("variant_id").endswith("-old"))
+        return {
+            "variants": cat.variants.filter(f"{PK} % 17 = 0 OR {PK} % 13 = 0").select("variant_id").union(gone.select("variant_id")),
+            "prices": cat.prices.filter(F.col("captured_at") >= F.lit(TODAY).cast("timestamp_ntz")).select("variant_id").union(gone.select("variant_id")),
+            "nutrition": cat.nutrition.filter(f"{PK} % 23 = 0 OR {PK} % 19 = 0").select("variant_id").union(
+                self.nutrition.filter(f"{PK} % 9 = 0").select("variant_id")),
+            "facts": cat.facts.filter(f"{PK} % 11 = 0").select("variant_id"),
+            "listings": cat.listings.filter("product_id % 31 = 0 OR product_id % 37 = 1").select("listing_id"),
+            "products": cat.products.filter("product_id % 29 = 0").select("product_id"),
+            "brands": cat.brands.filter("name = 'Brand#7'").select("brand_id"),
+            "sources": cat.sources.filter("source_id % 10 = 3").select("source_id"),
+        }
+
+
+def refreshed_view(cat: StarCatalog) -> DataFrame:
+    """Yesterday's view brought up to date from what changed."""
+    before = Yesterday(cat)
+    return refresh.refresh(cut_lineage(view(before)), cat, before.deltas())
+
+
+def searched(cat: StarCatalog) -> DataFrame:
+    return search.search(cat.products, cat.brands, search.postings(cat.products, cat.brands), "RING")
+
+
+def search_pruning(cat: StarCatalog) -> DataFrame:
+    """How many products the trigrams leave for the exact check, of how many."""
+    few = search.candidates(search.postings(cat.products, cat.brands), "RING").agg(F.count(F.lit(1)).alias("candidates"))
+    return few.crossJoin(cat.products.agg(F.count(F.lit(1)).alias("products")))  # one row each
+
+
 FULL = FilterSpec(
     market="US", q="ring", brands=("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5"),
     in_stock_only=True, max_price_cents=8000, allergen_free=("soy",), no_artificial=True,
@@ -126,6 +199,9 @@ RETAILERS = ("supplier-000000001", "supplier-000000002", "supplier-000000007")
 
 QUERIES: dict[str, Query] = {
     "listing_metrics": lambda cat: flat(view(cat)),
+    "listing_metrics_refresh": lambda cat: flat(refreshed_view(cat)),
+    "search_trigrams": searched,
+    "search_trigram_candidates": search_pruning,
     "read_catalog_table": lambda cat: cat.products.filter(F.col("name").contains("ring"))
     .select("brand_id", "category").distinct().orderBy("brand_id", "category"),
     **{
@@ -190,14 +266,15 @@ QUERIES: dict[str, Query] = {
         cat.prices, cat.variants.filter(F.col("flavor") == "Vanilla")
     ).select("variant_id", "price_cents", "captured_at"),
     "latest_price": lambda cat: metrics.latest_price(cat.prices),
-    "best_offer_per_product": lambda cat: grouping.grouped_listings(cat, FilterSpec()).select(
+    "best_offer_per_product": lambda cat: grouping.with_names(grouping.grid_keys(cat, FilterSpec()), cat).select(
         *PAGE_COLUMNS, "protein_per_dollar"
     ),
+    "grouped_listings": lambda cat: flat(grouping.grouped_listings(cat, FULL)),
     "retailer_count": lambda cat: grouping.product_counts(
-        offers_for(cat, FilterSpec())).select("product_id", "retailer_count"),
+        grouping.offer_keys(cat, FilterSpec())).select("product_id", "retailer_count"),
     "offer_count": lambda cat: grouping.product_counts(
-        offers_for(cat, FilterSpec())).select("product_id", "offer_count"),
-    "product_total": lambda cat: grouping.product_total(offers_for(cat, FilterSpec())),
+        grouping.offer_keys(cat, FilterSpec())).select("product_id", "offer_count"),
+    "product_total": lambda cat: grouping.product_total(grouping.offer_keys(cat, FilterSpec())),
     "facet_brands": lambda cat: detail.facet_values(view(cat), "brand_name"),
     "facet_sources": lambda cat: detail.facet_values(view(cat), "source_slug"),
     "facet_counts": lambda cat: detail.facet_counts(view(cat), "dietary_labels"),
@@ -228,6 +305,7 @@ QUERIES: dict[str, Query] = {
         "variant_id", "product_id", "price_cents", "protein_per_dollar"
     ),
     "page_listings": lambda cat: grid_page(cat, FilterSpec(market="UK"), 1),
+    "page_listings_rows": lambda cat: flat(grid_page_rows(cat, FULL, 1)),
     "page_listings_2": lambda cat: grid_page(cat, FilterSpec(market="UK"), 2),
     "page_listings_last": lambda cat: last_page(cat, FilterSpec(market="UK")),
     "page_bounds": page_table,

@@ -61,6 +61,21 @@ def powder(cat: StarCatalog, items, schema: str, test, key: str) -> DataFrame:
     return rows.select("source_slug", "pk", F.col(f"item.{key}").cast("string").alias("item_key"))
 
 
+# Source settings as they come with the source definitions: some bring word lists of their own.
+CONFIG = (
+    "CASE s_suppkey % 5 WHEN 0 THEN '{\"include_keywords\":[\"Supplement\",\"shaker\"]}' WHEN 1 THEN '{\"exclude_keywords\":[\"CASEIN\"],\"max_pages\":3}' "
+    "WHEN 2 THEN '{\"include_keywords\":[\"whey\",\"vegan\"],\"exclude_keywords\":[]}' WHEN 3 THEN '{\"max_pages\":2}' END"
+)
+
+
+def powder_by_source(cat: StarCatalog) -> DataFrame:
+    """Feed products kept by the lists of their own source."""
+    configured = cat.table("supplier").select(F.col("s_suppkey").alias("source_id"), F.expr(CONFIG).alias("config"))
+    rows = _parsed(landed.feed_items(cat), feeds.FEED_PRODUCT)
+    kept = feeds.powder_by_source(rows, feeds.source_words(configured))
+    return kept.select("source_slug", "pk", F.col("item.id").cast("string").alias("item_key"))
+
+
 def affiliate_lookups(cat: StarCatalog) -> DataFrame:
     """Lookup responses in their three shapes: a list, a bare object, an empty list."""
     body = F.col("payload")
@@ -176,6 +191,7 @@ QUERIES = {
     "url_concat_dedupe": lambda cat: url_sets(cat, None),
     "changed_content": changed,
     "powder_filter_shopify": lambda cat: powder(cat, landed.feed_items, feeds.FEED_PRODUCT, feeds.powder_feed, "id"),
+    "powder_filter_by_source": powder_by_source,
     "powder_filter_walmart": lambda cat: powder(cat, landed.affiliate_items, feeds.AFFILIATE_ITEM, feeds.powder_affiliate, "itemId"),
     "powder_filter_amazon": lambda cat: powder(cat, landed.marketplace_items, feeds.MARKETPLACE_ITEM, feeds.powder_marketplace, "asin"),
     "powder_filter_kroger": lambda cat: powder(cat, landed.grocer_items, feeds.GROCER_ITEM, feeds.powder_grocer, "productId"),

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.operators.filters import FilterSpec
 from larder.oracle import catalog as catalog_sql
 from larder.oracle import payloads as payloads_sql
+from larder.oracle import sql_surface as surface_sql
 from larder.oracle import text as text_sql
 from larder.oracle import writes as writes_sql
-from larder.plans import catalog, payloads, text, writes
+from larder.plans import catalog, payloads, sql_surface, text, writes
 from larder.sources.adapter import StarCatalog
 
-GROUPS = [catalog.QUERIES, payloads.QUERIES, text.QUERIES, writes.QUERIES]
-ORACLES = [catalog_sql.ORACLE, payloads_sql.ORACLE, text_sql.ORACLE, writes_sql.ORACLE]
+GROUPS = [catalog.QUERIES, payloads.QUERIES, text.QUERIES, writes.QUERIES, sql_surface.QUERIES]
+ORACLES = [catalog_sql.ORACLE, payloads_sql.ORACLE, text_sql.ORACLE, writes_sql.ORACLE, surface_sql.ORACLE]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,31 @@ def powder_feed(item: Column, include: list[str] | None = None, exclude: list[st
     )
 
 
+SOURCE_CONFIG = "struct<include_keywords:array<string>,exclude_keywords:array<string>>"
+
+
+def source_words(sources: DataFrame) -> DataFrame:
+    """(source_id, include, exclude) from the sources' ``config`` JSON, in lower case; the default
+    lists where a source brings none. An empty list is a list: it includes or excludes nothing."""
+    config = F.from_json("config", SOURCE_CONFIG)
+    def words(own: Column, default: list[str]) -> Column:
+        return F.coalesce(F.transform(own, lambda w: F.lower(w)), F.array(*[F.lit(w) for w in default]))
+
+    return sources.select(
+        "source_id", words(config["include_keywords"], [vocab.POWDER_WORD]).alias("include"),
+        words(config["exclude_keywords"], vocab.FEED_EXCLUDE).alias("exclude"))
+
+
+def powder_by_source(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Feed products (``source_id, item``) that their own source's word lists let through."""
+    def occurs(text: Column, lists: str) -> Column:
+        return F.exists(lists, lambda w: F.contains(text, w))
+
+    item = F.col("item")
+    named = stage(rows, {"_text": F.lower(_text(item["title"], item["product_type"]))}).join(words, "source_id")
+    return named.filter(occurs(F.col("_text"), "include") & ~occurs(F.col("_text"), "exclude")).select(*rows.columns)
+
+
 def powder_affiliate(item: Column) -> Column:
     name = F.coalesce(item["name"], F.lit(""))
     return _is_powder(name, F.lower(_text(name, item["categoryPath"])), vocab.AFFILIATE_EXCLUDE)

@@ -523,23 +523,34 @@ def _is_product(node: Column) -> Column:
     )
 
 
+def _opened(entry: Column) -> Column:
+    """The entries that stand for one: a list's members, a graph's members and then its holder, or
+    the entry itself. ``open`` marks those that may hold more."""
+    node = entry["node"]
+    members = _get(node, "$", "array<variant>")
+    graph = _get(node, '$["@graph"]', "array<variant>")
+    as_open = lambda nodes: F.transform(nodes, lambda v: F.struct(v.alias("node"), F.lit(True).alias("open")))
+    closed = F.array(F.struct(node.alias("node"), F.lit(False).alias("open")))
+    held = F.when(members.isNotNull(), as_open(members)).when(graph.isNotNull(), F.concat(as_open(graph), closed)).otherwise(closed)
+    return F.when(entry["open"], held).otherwise(F.array(entry))
+
+
 def product_nodes(html: Column) -> Column:
-    """Product nodes of a page as an array: list items, then graph members before their holder."""
+    """Product nodes of a page in document order: members of lists and graphs of any depth, a
+    graph's members before their holder.
+
+    All open entries are opened at once, again and again until none is left. No page nests deeper
+    than it has opening brackets, so that many rounds are the limit; those after the last do nothing.
+    """
     blocks = F.regexp_extract_all(html, F.lit(LD_BLOCK), F.lit(1))
     parsed = F.filter(F.transform(blocks, F.try_parse_json), lambda v: v.isNotNull())
-    roots = F.flatten(
-        F.transform(parsed, lambda v: F.coalesce(_get(v, "$", "array<variant>"), F.array(v)))
-    )
-    nodes = F.flatten(
-        F.transform(
-            roots,
-            lambda v: F.concat(
-                F.coalesce(_get(v, '$["@graph"]', "array<variant>"), F.array().cast("array<variant>")),
-                F.array(v),
-            ),
-        )
-    )
-    return F.filter(nodes, _is_product)
+    entries = F.transform(parsed, lambda v: F.struct(v.alias("node"), F.lit(True).alias("open")))
+    brackets = F.length(F.regexp_replace(F.array_join(blocks, ""), r"[^\[]", ""))
+    rounds = F.sequence(F.lit(0), brackets)
+    walked = F.aggregate(
+        rounds, entries,
+        lambda held, _: F.when(F.exists(held, lambda e: e["open"]), F.flatten(F.transform(held, _opened))).otherwise(held))
+    return F.filter(F.transform(walked, lambda e: e["node"]), _is_product)
 
 
 def has_offers(node: Column) -> Column:
