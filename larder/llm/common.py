@@ -40,7 +40,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote and that nothing reads any more."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 _worker_tool: dict[Hashable, object] = {}

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import stored
+from larder.llm.common import drop, stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(a, b) undirected edges -> (node, root): each node of an edge with the smallest node reachable.
 
     Stars never hold a node's neighbours as a list: the least neighbour comes from an aggregate with
-    partial sums, and the join back lets a hub be split. The number of rounds grows with the
-    logarithm of the longest path. Self-loops and nulls are dropped; no edges give no rows.
+    partial sums. In the join back a hub's edges meet in one task unless adaptive execution splits
+    that partition. The number of rounds grows with the logarithm of the longest path. Self-loops and
+    nulls are dropped; no edges give no rows. Each round's tables go when the next ones are written.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
@@ -26,7 +27,9 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a")
         small = linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = stored(small.distinct(), "edges")
+        before, now = now, stored(small.distinct(), "edges")
+        drop(before)
+        drop(large)
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -88,6 +88,59 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert answer(ngram_join.groups(table(spark, rows))) == brute(rows)
 
 
+def test_ids_with_several_rows(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, None), (4, None), (4, ""), (5, a + " end"), (5, a + " end"), (None, a), (6, None), (6, a)]
+    assert answer(ngram_join.groups(table(spark, rows))) == brute(rows)
+    kept = ngram_join.leaders(table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
+
+
+def passages(rng, n, shared):
+    """Texts that each hold one of a few passages between words of their own, and near copies of some."""
+    out = []
+    for i in range(n):
+        own = [f"o{rng.randrange(10**7)}" for _ in range(rng.randrange(20, 140))]
+        out.append(own + list(shared[i % len(shared)]) + own[::-1][:10])
+        if i % 3 == 0:
+            copy = list(out[-1])
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**7)}"
+            out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+def test_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    rng = random.Random(8)
+    shared = [[f"p{k}x{i}" for i in range(60)] for k in range(3)]
+    texts = passages(rng, 240, shared) + near(rng, 60, 70, 12) + near(rng, 50, 90, 20)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    assert answer(ngram_join.groups(table(spark, rows), 5, 80)) == brute(rows, 80, 5)
+
+
+def test_common_shingles_come_last():
+    shingles = ngram_join.Shingler(2)
+    texts = [f"own{i} common words here" for i in range(100)] + [f"pair{i // 2} of texts" for i in range(20)]
+    batch = [ngram_join.pa.RecordBatch.from_pydict({"t": texts[k::3]}) for k in range(3)]
+    rows = [r for b in batch for r in ngram_join.pa.Table.from_batches(list(ngram_join._counted([b], shingles))).to_pylist()]
+    rows.sort(key=lambda r: r["part"])
+    blocks = [ngram_join.pa.RecordBatch.from_pydict({k: [r[k] for r in rows] for k in ("part", "low", "many")})]
+    table = np.zeros((1 << ngram_join.PART_BITS, 1 << (ngram_join.TABLE_BITS - ngram_join.PART_BITS - 2)), dtype=np.uint8)
+    for out in ngram_join._marked(blocks):
+        for r in out.to_pylist():
+            table[r["part"]] = np.frombuffer(r["marks"], dtype=np.uint8)
+    table = table.reshape(-1)
+
+    def level(text):
+        place = (shingles(text) >> np.uint64(64 - ngram_join.TABLE_BITS)).astype(np.int64)
+        return ((table[place >> 2] >> ((place & 3) << 1).astype(np.uint8)) & 3).tolist()
+
+    assert level("common words") == [3] and level("words here") == [3] and level("own3 common") == [0]
+    assert level("pair3 of") == [1] and level("of texts") == [2] and level("never seen") == [0]
+
+
 def test_tree_walk_finds_all_components():
     rng = random.Random(1)
     sets = [np.unique(np.array([hash(x) & (2**63 - 1) for x in shingles(t)], dtype=np.uint64)) for g in range(40) for t in near(rng, 8, 50, 3, 60)]
