@@ -10,7 +10,8 @@ words are decoded at once by selector. Selector 0 is the escape: the next word i
 
 Parts are ranges of ``doc_id`` in ascending order, nulls first, equal ids by text hash.
 
-Edge cases: a null or empty text is the end id alone; repeated rows are documents of their own;
+Edge cases: the string of a special token in a text is that token, as the library has it by default;
+a null or empty text is the end id alone; repeated rows are documents of their own;
 a very long text is a block of its own; an empty table gives an empty file; a table's own columns
 with clashing names don't matter, since only id and text are read.
 """
@@ -27,12 +28,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.chunks import ChunkMemo, encode_text
+from larder.llm.chunks import JoinedMemo
 from larder.llm.common import documents, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
+GROUP_CHARS = 1 << 20  # of texts that are encoded together
 
 # Ids per word and bits per id for selectors 2 to 15; 0 is the escape, 1 is unused.
 COUNTS = [1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -130,18 +132,22 @@ def unpack(words: np.ndarray, lens: np.ndarray, doc_words: np.ndarray) -> np.nda
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[ChunkMemo, ChunkMemo]:
+def _encoder(path: str) -> JoinedMemo:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    special = {i for i, token in tokenizer.get_added_tokens_decoder().items()}
+    # a character of a byte-level token stands for one byte; a special token is its own text
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token.encode()) if i in special else len(token)
 
-    def encode(chunk: str) -> bytes:
-        ids = tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype=np.int32).tobytes()
+    def encode(text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    return ChunkMemo(encode), ChunkMemo(encode, " ")
+    return JoinedMemo(encode, sizes)
 
 
 def _block(part: int, block: int, first: int, doc_ids: list, parts: list[bytes]) -> pa.RecordBatch:
@@ -156,6 +162,21 @@ def _block(part: int, block: int, first: int, doc_ids: list, parts: list[bytes])
     })
 
 
+def _groups(batches):
+    """(ids, texts) of the rows in order, some ``GROUP_CHARS`` of text at a time."""
+    ids, texts, chars = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            chars += len(texts[-1])
+            if chars >= GROUP_CHARS:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes ``docs`` and writes the file; gives back the written table."""
@@ -164,16 +185,15 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int =
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        bare, spaced = _encoder(path)
+        encoder = _encoder(path)
         end = np.array([end_id], dtype=np.int32).tobytes()
         block = first = held = 0
         doc_ids, parts = [], []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode_text(text.as_py() or "", bare, spaced) + end
+        for ids_of, texts in _groups(batches):
+            for doc_id, ids in zip(ids_of, encoder(texts), strict=True):
                 doc_ids.append(doc_id)
-                parts.append(ids)
-                held += len(ids) // 4
+                parts.append(ids + end)
+                held += len(ids) // 4 + 1
                 if held >= block_ids:
                     yield _block(part, block, first, doc_ids, parts)
                     block, first, held, doc_ids, parts = block + 1, first + held, 0, [], []

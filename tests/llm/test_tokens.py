@@ -114,9 +114,10 @@ def test_id_file(spark, tmp_path):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     rows = [(r.doc_id + 1000, r.text, None, None, 0) for r in spark.read.parquet(f"{ROOT}/documents.parquet").collect()] + edge_rows()
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>\nz <|endoftext|>", "  lead <|endoft ext|>", "a\0 b", "a  b\n\nc\t d\u00a0e \n"]
+    rows += [(5000 + i, t, None, None, 0) for i, t in enumerate(special)]
     got = simple8b.query(spark, save(spark, rows, tmp_path)).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want, start = [], 0
     keys = {r[0]: r[1] for r in rows}
     for r in sorted(got, key=lambda r: r.start):
@@ -129,6 +130,18 @@ def test_id_file(spark, tmp_path):
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
 
 
+def test_joined_chunks_keep_every_text(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = simple8b._encoder.__wrapped__(path)
+    monkeypatch.setattr(chunks, "MEMO_ENTRIES", 10)
+    monkeypatch.setattr(chunks, "LEARN", 7)
+    texts = ["it's we'll 'S", "é naïve\nnaïve 日本 🙂🙂", "x" * 300 + " y", "12 345\r\n6 ''", "\u0085a \x1cb", "", " a", "a ", "the the\nthe"] * 2
+    texts += [" ".join(f"w{i} w{i + 1}," for i in range(k, k + 9)) for k in range(20)]
+    for group in (texts, texts[::-1], texts[:3]):
+        assert [np.frombuffer(x, dtype=np.int32).tolist() for x in encoder(group)] == [encoder.encode(t) if t else [] for t in group]
+    assert len(encoder.young) < 200 and not any(len(c) > chunks.MEMO_CHARS for c in encoder.young)
+
+
 def test_id_file_gives_ids_back(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     files = simple8b.write_ids(edge(spark), path, block_ids=50)
