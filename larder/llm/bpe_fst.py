@@ -5,7 +5,11 @@ the last token of the encoding up to there. A token may follow another iff the t
 their bytes are merged together, so what the machine must know is the last token at each position
 where a token may still begin. These positions follow from the longest open run of bytes, a node
 of the vocabulary's prefix tree; a state is that node with the last tokens at its open positions.
-States and steps are made when first met and kept in a bounded table. All open positions lie within
+States and steps, what a byte does at a node, and which tokens stay apart are worked out when first
+met and kept in bounded tables; the tokens at a token's edges are kept for each of the vocabulary.
+A worker also remembers the ids of words, ``MEMO_ENTRIES`` in each of two generations, after a
+blank and without one: at some 200 bytes an entry that is 200 MB for the 500,000 after a blank, the
+bound, which texts of few line breaks come near to. All open positions lie within
 the longest token's length of the end, and a token is emitted once the paths back from all of them
 meet behind it.
 
@@ -35,6 +39,7 @@ from larder.llm.common import documents, worker_tool
 VOCABULARY = "byte_bpe_50k.tiktoken"
 STATES = 80_000
 CHUNK_IDS = 8192
+GROUP_BYTES = 1 << 20  # of ids or text that leave a task in one batch
 NEVER = 1 << 60
 START, KEY = -1, -1  # no token yet; a state's own entry beside its steps by byte
 SETTLE = 4096
@@ -151,6 +156,8 @@ class Transducer:
         node, lasts = state[KEY]
         shape = self.shapes.get((node, byte))
         if shape is None:
+            if len(self.shapes) >= 4 * self.limit:
+                self.shapes.clear()
             shape = self.shapes[node, byte] = self._shape(node, byte)
         ends, stay, after = shape
         for i, token in ends:
@@ -252,9 +259,14 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     def run(batches):
         bare, spaced = _encoder(path, pattern)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            ids = id_lists(encode_text(t.as_py() or "", bare, spaced) for t in texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
+            start, size, parts = 0, 0, []
+            for i, text in enumerate(batch.column(batch.num_columns - 1), 1):
+                parts.append(encode_text(text.as_py() or "", bare, spaced))
+                size += len(parts[-1])
+                if size >= GROUP_BYTES or i == batch.num_rows:
+                    columns = batch.slice(start, i - start).columns[:-1]
+                    yield pa.RecordBatch.from_arrays([*columns, id_lists(parts)], names=[*batch.schema.names[:-1], "ids"])
+                    start, size, parts = i, 0, []
 
     slim = docs.select(*keep, F.col(text_col).alias("ids"))
     schema = docs.select(*keep, F.lit(None).cast("array<int>").alias("ids")).schema
@@ -283,8 +295,14 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         tokens = _token_bytes(path)
         for batch in batches:
-            texts = pa.array([streamed(x.values.to_pylist() if x.is_valid else [], tokens) for x in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+            start, size, texts = 0, 0, []
+            for i, x in enumerate(batch.column(at), 1):
+                texts.append(streamed(x.values.to_pylist() if x.is_valid else [], tokens))
+                size += len(texts[-1])
+                if size >= GROUP_BYTES or i == batch.num_rows:
+                    columns = batch.slice(start, i - start).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+                    start, size, texts = i, 0, []
 
     schema = df.select(*keep, F.lit(None).cast("string").alias("decoded")).schema
     return df.select(*keep).mapInArrow(run, schema)
