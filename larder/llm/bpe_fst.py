@@ -8,8 +8,7 @@ of the vocabulary's prefix tree; a state is that node with the last tokens at it
 States and steps, what a byte does at a node, and which tokens stay apart are worked out when first
 met and kept in bounded tables; the tokens at a token's edges are kept for each of the vocabulary.
 A worker also remembers the ids of words, ``MEMO_ENTRIES`` in each of two generations, after a
-blank and without one: at some 200 bytes an entry that is 200 MB for the 500,000 after a blank, the
-bound, which texts of few line breaks come near to. All open positions lie within
+blank and without one: at some 200 bytes an entry 120 MB for those after a blank. All open positions lie within
 the longest token's length of the end, and a token is emitted once the paths back from all of them
 meet behind it.
 
@@ -37,7 +36,7 @@ from larder.llm.chunks import ChunkMemo, encode_text, id_lists
 from larder.llm.common import documents, worker_tool
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES = 80_000
+STATES = 50_000
 CHUNK_IDS = 8192
 GROUP_BYTES = 1 << 20  # of ids or text that leave a task in one batch
 NEVER = 1 << 60
@@ -128,7 +127,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.apart) >= 4 * self.limit:
+            if len(self.apart) >= 2 * self.limit:
                 self.apart.clear()
             self.apart[pair] = known
         return known
@@ -156,7 +155,7 @@ class Transducer:
         node, lasts = state[KEY]
         shape = self.shapes.get((node, byte))
         if shape is None:
-            if len(self.shapes) >= 4 * self.limit:
+            if len(self.shapes) >= 2 * self.limit:
                 self.shapes.clear()
             shape = self.shapes[node, byte] = self._shape(node, byte)
         ends, stay, after = shape
@@ -287,6 +286,30 @@ def streamed(ids, tokens: list[bytes], chunk: int = CHUNK_IDS) -> str:
     return "".join(out) + stream.end()
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text",
+               keep: list[str] | None = None) -> DataFrame:
+    """As ``decode`` of ``encode``, in one pass: the ids of a text are decoded by the task that made them."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+
+    def run(batches):
+        (bare, spaced), tokens = _encoder(path, pattern), _token_bytes(path)
+        for batch in batches:
+            start, size, parts, texts = 0, 0, [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1), 1):
+                parts.append(encode_text(text.as_py() or "", bare, spaced))
+                texts.append(streamed(memoryview(parts[-1]).cast("i").tolist(), tokens))
+                size += len(parts[-1])
+                if size >= GROUP_BYTES or i == batch.num_rows:
+                    columns = batch.slice(start, i - start).columns[:-1]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, id_lists(parts), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
+                    start, size, parts, texts = i, 0, [], []
+
+    slim = docs.select(*keep, F.col(text_col).alias("decoded"))
+    schema = docs.select(*keep, F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded")).schema
+    return slim.mapInArrow(run, schema)
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of its ids."""
     keep = [c for c in df.columns if c != "decoded"]
@@ -315,7 +338,7 @@ def id_text(ids="ids"):
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    both = decode(encode(documents(spark, sf_dir), path, keep=["doc_id"]), path)
+    both = round_trip(documents(spark, sf_dir), path, keep=["doc_id"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(id_text(), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pyarrow as pa
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 CLOSING = (",", ".")
 LEARN = 4096  # new chunks that are encoded in one text

@@ -102,6 +102,15 @@ def test_words_round_trip(docs):
         assert simple8b.unpack(words[offsets[k]:end], lens[k:k + 1], np.array([0])).tolist() == docs[k]
 
 
+def test_one_pass_equals_two(spark, monkeypatch):
+    docs = edge(spark).withColumn("ids", F.lit("mine"))
+    monkeypatch.setattr(bpe_fst, "GROUP_BYTES", 50)
+    two = bpe_fst.decode(bpe_fst.encode(docs, PATH, keep=["doc_id", "text"]), PATH)
+    one = bpe_fst.round_trip(docs, PATH, keep=["doc_id", "text", "ids"])
+    assert one.columns == two.columns and Counter(map(str, one.collect())) == Counter(map(str, two.collect()))
+    assert bpe_fst.round_trip(empty(spark), PATH).count() == 0
+
+
 def test_small_ids_share_words():
     words, _ = simple8b.pack(np.ones(600, dtype=np.int64), np.array([600]))
     assert len(words) == 10
