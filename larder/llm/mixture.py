@@ -7,8 +7,9 @@ that fit the rest are taken, and only the documents of the one boundary bucket a
 by their next 12 bits. Nothing is sorted but the at most 4,096 sums of a source.
 
 Edge cases: a null or empty text has size 0; null sources form one source, last in order; a source
-of size 0 has target 0 and takes nothing; rows with the same hash (same id and text) are taken
-together; an empty table gives an empty result. Columns whose names clash are replaced.
+of size 0 has target 0 and takes nothing; of rows with the boundary hash (same id and text) as many
+are taken as come nearest to the target; an empty table gives an empty result. Columns whose names
+clash are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, stored, word_count
+from larder.llm.common import documents, fresh, stored, word_count
 
 BITS = 12
 LEVELS = 5
@@ -67,7 +68,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 
 
 def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, size, h) rows and targets -> per source ``copies`` and the hash limit ``below``.
+    """(source, size, h) rows and targets -> per source ``copies``, the hash limit ``below`` and
+    ``edge``, the words that rows of just that hash have to bring (null: none has it).
 
     Each level writes its small table, so the next one reads a table instead of a growing plan.
     """
@@ -114,11 +116,23 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
             ),
             "mix-state",
         )
-    # the boundary hash itself joins when that comes nearer to the target
-    return state.select(
-        "source", "source_size", "target", "copies",
-        (F.col("at") + F.when(F.col("open") & (F.col("last") - F.col("need") < F.col("need")), 1).otherwise(0)).alias("below"),
-    )
+    return state.select("source", "source_size", "target", "copies", F.col("at").alias("below"), F.when(F.col("open"), F.col("need")).alias("edge"))
+
+
+def _nearest(held: DataFrame, work: dict[str, str]) -> DataFrame:
+    """``held``, all rows of their sources' boundary hashes, with the column ``more``: 1 for the first rows
+    of each source that come nearest to its ``edge`` words. Rows are summed up task by task, so that
+    very many equal rows don't meet."""
+    source, part = work["source"], F.shiftright(work["place"], 33).alias(work["part"])
+    held = stored(held.withColumn(work["place"], F.monotonically_increasing_id()), "mix-edge")
+    sums = held.groupBy(source, part).agg(F.sum("size").alias(work["sum"]))
+    before = Window.partitionBy(source).orderBy(work["part"]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(source).alias(work["of"]), work["part"], F.coalesce(F.sum(work["sum"]).over(before), F.lit(0)).alias(work["sum"]))
+    inside = Window.partitionBy(source, work["part"]).orderBy(work["place"]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = held.withColumn(work["part"], part).withColumn(work["upto"], F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(sums, F.col(source).eqNullSafe(F.col(work["of"])) & (rows[work["part"]] == sums[work["part"]]))
+    upto = F.col(work["upto"]) + F.col(work["sum"])
+    return rows.withColumn(work["more"], F.when(2 * upto + F.col("size") < 2 * F.col(work["edge"]), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text",
@@ -127,17 +141,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id"
     size, h = word_count(F.col(text_col)), draw(F.col(id_col), F.col(text_col))
     rows = stored(docs.select(F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(rows, source_targets(totals, weights, cap)).select(
-        F.col("source").alias("_limit_source"), F.col("source_size").alias("_ss"), F.col("target").alias("_target"),
-        F.col("copies").alias("_k"), "below",
-    )
+    limits = stored(thresholds(rows, source_targets(totals, weights, cap)), "mix-limits")
+    at_edge = rows.join(limits.select(F.col("source").alias("s"), "below", "edge"),
+                        F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("below")) & F.col("edge").isNotNull())
+    several = not at_edge.groupBy("s").count().filter("count > 1").isEmpty()
     made = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c.lower() not in made]
-    out = docs.select(*kept, size.alias("size"), h.alias("_draw"))
-    out = out.join(limits, F.col(source_col).eqNullSafe(F.col("_limit_source")), "left")
-    copies = F.col("_k") + F.when(F.col("_draw") < F.col("below"), 1).otherwise(0)
+    work = fresh(docs, "source", "ss", "target", "k", "below", "edge", "draw", "more", "place", "part", "sum", "upto", "of")
+    limits = limits.select(*[F.col(c).alias(work[w]) for c, w in zip(
+        ("source", "source_size", "target", "copies", "below", "edge"), ("source", "ss", "target", "k", "below", "edge"), strict=True)])
+    out = docs.select(*kept, size.alias("size"), h.alias(work["draw"]))
+    out = out.join(limits, F.col(source_col).eqNullSafe(F.col(work["source"])), "left")
+    edge = F.coalesce((F.col(work["draw"]) == F.col(work["below"])) & F.col(work["edge"]).isNotNull(), F.lit(False))
+    # a row at the edge joins when that comes nearer to the target
+    more = F.when(F.col(work["draw"]) < F.col(work["below"]), 1).when(edge & (F.col("size") < 2 * F.col(work["edge"])), 1).otherwise(0)
+    plain = out.filter(~edge) if several else out
+    columns = [*out.columns, work["more"]]
+    out = plain.withColumn(work["more"], more).select(columns)
+    if several:
+        held = docs.select(*kept, size.alias("size"), h.alias(work["draw"])).join(limits, F.col(source_col).eqNullSafe(F.col(work["source"])), "left")
+        out = out.union(_nearest(held.filter(edge), work).select(columns))
+    copies = F.col(work["k"]) + F.col(work["more"])
     return out.select(
-        *kept, "size", F.col("_ss").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"),
+        *kept, "size", F.col(work["ss"]).alias("source_size"), F.col(work["target"]).alias("target"), copies.alias("copies"),
         (F.col("size") * copies).alias("taken"),
     )
 
