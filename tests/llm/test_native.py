@@ -212,3 +212,51 @@ def test_slot_maps_move_little():
         loads[evened[s]] += b
     assert max(loads.values()) - min(loads.values()) < 0.03 * sum(loads.values()) / 24
     assert sum(evened[s] != first[s] for s in first) < 500
+
+
+def equal_rows():
+    return [(1, "one two three four", "en", "a", 0)] * 500 + [(2, "five six seven eight", "en", "b", 0)] * 500
+
+
+def test_equal_rows_are_mixed_one_by_one(spark, tmp_path):
+    got = mixture.query(spark, save(spark, equal_rows(), tmp_path)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.doc_id] += r.taken
+        target[r.doc_id] = r.target
+    assert len(got) == 1000 and target[1] + target[2] == 4000 and target[2] == 2 * target[1]
+    assert all(abs(taken[i] - target[i]) <= 4 for i in (1, 2))
+    again = mixture.query(spark, save(spark, equal_rows(), tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    one = spark.createDataFrame([(7, "a b c d", "en", None, 0)] * 9 + [(8, "e", "en", "z", 0)], SCHEMA)
+    rows = mixture.mix(one).collect()
+    assert abs(sum(r.taken for r in rows if r.doc_id == 7) - rows[0].target) <= 4 or rows[0].doc_id == 8
+
+
+def test_equal_rows_fill_all_shards(spark, tmp_path):
+    folder = save(spark, equal_rows(), tmp_path)
+    got = slots.query(spark, folder).collect()
+    loads = Counter(r.shard for r in got)
+    assert len(got) == 1000 and len(loads) == 24 and max(loads.values()) - min(loads.values()) <= 3
+    for shard in loads:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(loads[shard]))
+    again = slots.query(spark, save(spark, equal_rows()[::-1], tmp_path)).collect()
+    assert Counter((r.doc_id, r.shard) for r in again) == Counter((r.doc_id, r.shard) for r in got)
+
+
+def test_map_versions_move_few_records(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7), None, None, 0) for i in range(3000)], SCHEMA)
+    first = {r.doc_id: r.shard for r in slots.assign(docs, 5, map_path=path).collect()}
+    assert {r.doc_id: r.shard for r in slots.assign(docs, 5, map_path=path).collect()} == first
+    sums = slots.slot_bytes(docs.select(
+        slots.byte_size(F.col("text")).alias("size"), slots.virtual_slot(slots.record_key(F.col("doc_id"), F.col("text"))).alias("vslot")))
+    slots.edit_map(spark, path, sums, 6)
+    grown = {r.doc_id: r.shard for r in slots.assign(docs, 6, map_path=path).collect()}
+    moved = [i for i in first if grown[i] != first[i]]
+    assert moved and all(grown[i] == 5 for i in moved) and 0.1 < len(moved) / 3000 < 0.24
+    more = docs.union(spark.createDataFrame([(10_000 + i, f"new {i}", None, None, 0) for i in range(4000)], SCHEMA))
+    later = {r.doc_id: r.shard for r in slots.assign(more, 6, map_path=path).collect()}
+    assert all(later[i] == grown[i] for i in grown) and set(later.values()) == set(range(6))
+    old, owner = slots.load_map(spark, path, 1)
+    assert old == 1 and max(owner.values()) == 4 and slots.load_map(spark, path)[0] == 3
