@@ -35,14 +35,16 @@ FLUSH = 200_000
 FOLDS, HELD_OUT = 5, 1
 LOG10 = math.log(10)
 START = "▁"
+SHORT, TINY = 24, 1e-250  # places of a word that is summed as products, unless they get this small
+NOTHING = object()
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w.decode() for w in (text or "").encode().lower().split()]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
-def word_key(word: str) -> int:
-    h = xxhash.xxh3_64_intdigest(word.encode())
+def word_key(word: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(word)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -70,22 +72,30 @@ class Lattice:
     def __init__(self, pieces: dict[str, float], stop: float):
         self.logs = {p: math.log(x * (1 - stop)) for p, x in pieces.items() if x > 0}
         self.end = math.log(stop / (1 - stop))
-        self.longest = max(map(len, self.logs))
         self.floor = min(self.logs.values()) - 10
+        # every beginning of a piece, with the weight of those that are pieces themselves
+        self.table: dict[str, float | None] = {p[:n]: None for p in self.logs for n in range(1, len(p))} | self.logs
 
     def arcs(self, text: str) -> list[list[tuple[int, float, str]]]:
         """For each end place the arcs (start, log weight, piece) that reach it."""
-        logs, longest, out = self.logs, self.longest, []
-        for j in range(1, len(text) + 1):
-            found = []
-            for i in range(max(0, j - longest), j):
-                weight = logs.get(text[i:j])
+        table, size = self.table, len(text)
+        out: list[list] = [[] for _ in text]
+        for i, first in enumerate(text):
+            weight = table.get(first, NOTHING)
+            if weight is NOTHING or weight is None:
+                spelled = sum(self.logs.get(f"<0x{b:02X}>", self.floor) for b in first.encode())
+                out[i].append((i, spelled, ""))
+                if weight is NOTHING:
+                    continue
+            else:
+                out[i].append((i, weight, first))
+            for j in range(i + 2, size + 1):
+                piece = text[i:j]
+                weight = table.get(piece, NOTHING)
+                if weight is NOTHING:  # no piece begins like this
+                    break
                 if weight is not None:
-                    found.append((i, weight, text[i:j]))
-            if not found or found[-1][0] != j - 1:
-                spelled = sum(logs.get(f"<0x{b:02X}>", self.floor) for b in text[j - 1].encode())
-                found.append((j - 1, spelled, ""))
-            out.append(found)
+                    out[j - 1].append((i, weight, piece))
         return out
 
     @staticmethod
@@ -102,9 +112,30 @@ class Lattice:
     def log_probability(self, word: str) -> float:
         return self.forward(self.arcs(START + word))[-1] + self.end
 
-    def expect(self, word: str, counts: dict[str, float]) -> None:
-        """Adds the expected number of times each piece is used in ``word``."""
+    def expect(self, word: str, counts: dict[str, float]) -> float:
+        """Adds the expected number of times each piece is used in ``word``; their sum. Short words are
+        summed as plain products, which are exact enough there and need no logarithms."""
         arcs = self.arcs(START + word)
+        if len(arcs) > SHORT:
+            return self._expect_long(arcs, counts)
+        logs, arcs = arcs, [[(i, math.exp(w), piece) for i, w, piece in found] for found in arcs]
+        alpha = [1.0]
+        for found in arcs:
+            alpha.append(sum([alpha[i] * w for i, w, _ in found]))
+        if alpha[-1] < TINY:
+            return self._expect_long(logs, counts)
+        beta = [0.0] * len(alpha)
+        beta[-1], used = 1.0 / alpha[-1], 0.0
+        for j in range(len(arcs), 0, -1):
+            after = beta[j]
+            for i, w, piece in arcs[j - 1]:
+                beta[i] += w * after
+                share = alpha[i] * w * after
+                counts[piece] += share
+                used += share
+        return used
+
+    def _expect_long(self, arcs, counts: dict[str, float]) -> float:
         alpha = self.forward(arcs)
         leaving = [[] for _ in alpha]
         for j, found in enumerate(arcs, 1):
@@ -113,12 +144,13 @@ class Lattice:
         beta = [0.0] * len(alpha)
         for i in range(len(alpha) - 2, -1, -1):
             beta[i] = self.total([w + beta[j] for j, w, _ in leaving[i]]) if leaving[i] else -1e300
-        whole = alpha[-1]
+        whole, used = alpha[-1], 0.0
         for i, out in enumerate(leaving):
             for j, w, piece in out:
                 share = math.exp(alpha[i] + w + beta[j] - whole)
                 counts[piece] += share
-                counts["\n"] += share  # all pieces together
+                used += share
+        return used
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -126,7 +158,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         def out(held):
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "c": pa.array(list(held.values()), pa.int64())})
+            words = pa.array(list(held), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_pydict({"word": words, "c": pa.array(list(held.values()), pa.int64())})
 
         held: Counter = Counter()
         for batch in batches:
@@ -155,11 +188,12 @@ def learn_pieces(words: DataFrame, path: str, rounds: int = 1) -> tuple[dict[str
     prior = pieces
     for _ in range(rounds):
         def run(batches, pieces=pieces, stop=stop):
-            lattice, counts = Lattice(pieces, stop), defaultdict(float)
+            lattice, counts, used, seen = Lattice(pieces, stop), defaultdict(float), 0.0, 0
             for batch in batches:
                 for word in batch.column(0).to_pylist():
-                    lattice.expect(word, counts)
-                    counts[" "] += 1  # words
+                    used += lattice.expect(word, counts)
+                    seen += 1
+            counts["\n"], counts[" "] = used, float(seen)  # all pieces together, and words
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.float64())})
 
         sums = words.filter("c > 0").select("word").mapInArrow(run, "piece string, n double")
@@ -198,13 +232,13 @@ def score(docs: DataFrame, path: str, head: int = HEAD, rounds: int = 1) -> Data
                     log = own + math.log1p(math.exp(log - own)) if log < own else log + math.log1p(math.exp(own - log))
                 full.append(log / LOG10)
             yield pa.RecordBatch.from_pydict({
-                "h": pa.array([word_key(w) for w in names], pa.int64()), "word": batch.column(0), "c": batch.column(1),
+                "h": pa.array([word_key(w.encode()) for w in names], pa.int64()), "word": batch.column(0), "c": batch.column(1),
                 "w_base": pa.array(base, pa.float64()), "w_score": pa.array(full, pa.float64())})
 
     scored = stored(words.mapInArrow(word_scores, "h long, word string, c long, w_base double, w_score double"), "word-scores")
     # counts sum to ``total``: no more than ``head`` words can have a share of 1 / head
     top = scored.filter(F.col("c") * head >= F.lit(total)).filter("c > 0").select("word", "w_base", "w_score").collect()
-    known = spark.sparkContext.broadcast({r[0]: (r[1], r[2]) for r in top})
+    known = spark.sparkContext.broadcast({r[0].encode(): (r[1], r[2]) for r in top})
     end_base = math.log10((ends + 0.5) / below)
     end_score = math.log10((1 - spelled) * ends / total) if ends else math.log10(0.5)
 

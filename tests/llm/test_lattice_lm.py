@@ -38,6 +38,11 @@ def test_lattice_sums_every_segmentation():
         lattice.expect(word, counts)
         for p, x in used.items():
             assert counts[p] == pytest.approx(x / want)
+    for word in ("ab" * 30, "漢" * 20, "aé漢" * 4):  # products and logarithms agree, also where products vanish
+        short, long = defaultdict(float), defaultdict(float)
+        used = lattice.expect(word, short)
+        assert used == pytest.approx(lattice._expect_long(lattice.arcs("▁" + word), long)) == pytest.approx(sum(short.values()))
+        assert {p: pytest.approx(x) for p, x in long.items()} == short
     assert lattice.log_probability("é") == pytest.approx(math.log(.1 * .75 * .05 * .75 * .05 * .25))
     assert math.isfinite(lattice.log_probability("漢" * 4000))
 
