@@ -23,6 +23,7 @@ MARKUP = (
 ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
 ]
+# The label patterns that decide which number is which fact.
 SERVING_SIZE = rf"(?i)serving size{WS}*[:\-]?{WS}*([^\n.;|]+)"
 PROSE_PROTEIN = (
     rf"(?i){NUM}{WS}*g(?:rams)?{WS}+(?:of{WS}+)?(?:[a-z]+{WS}+){{0,2}}protein"

@@ -45,21 +45,22 @@ BRAND_ALIASES = {
 }
 
 # Flavor words dropped from a product's core name.
-FLAVOR_WORDS = (
-    "chocolate vanilla strawberry banana cookies cream cookie dough peanut butter caramel mocha "
-    "coffee latte mint birthday cake unflavored unflavoured natural fruity fruit cinnamon salted "
-    "coconut mango berry blueberry raspberry lemon lemonade orange smores marshmallow hazelnut "
-    "pumpkin spice chip chips fudge brownie milk dark white rich double gourmet punch icy blue "
-    "green apple watermelon grape cherry tropical honey maple horchata snickerdoodle frosted "
-    "glazed donut toffee pina colada flavor flavored flavour flavoured naturally ice iced sea "
-    "salt roasted creamy smooth"
-).split()
+FLAVOR_WORDS = [
+    "chocolate", "vanilla", "strawberry", "banana", "cookies", "cream", "cookie", "dough", "peanut", "butter",
+    "caramel", "mocha", "coffee", "latte", "mint", "birthday", "cake", "unflavored", "unflavoured", "natural",
+    "fruity", "fruit", "cinnamon", "salted", "coconut", "mango", "berry", "blueberry", "raspberry", "lemon",
+    "lemonade", "orange", "smores", "marshmallow", "hazelnut", "pumpkin", "spice", "chip", "chips", "fudge",
+    "brownie", "milk", "dark", "white", "rich", "double", "gourmet", "vanilla bean", "punch", "icy", "blue",
+    "green", "apple", "watermelon", "grape", "cherry", "tropical", "honey", "maple", "horchata",
+    "snickerdoodle", "frosted", "glazed", "donut", "toffee", "pina", "colada", "flavor", "flavored", "flavour",
+    "flavoured", "naturally", "ice", "iced", "sea", "salt", "roasted", "creamy", "smooth",
+]
 
 # Marketing words dropped from a product's core name.
-NOISE_WORDS = (
-    "protein powder the with and premium grass fed grassfed pure 100 new improved value size pack "
-    "tub bag bottle jug supplement"
-).split()
+NOISE_WORDS = [
+    "protein", "powder", "the", "with", "and", "premium", "grass", "fed", "grassfed", "pure", "100", "new",
+    "improved", "value", "size", "pack", "tub", "bag", "bottle", "jug", "supplement",
+]
 
 # Units that mark a size or a count inside a product name.
 NAME_SIZE_UNITS = (

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from larder.functions import vocab
 from larder.functions.facets import bits_to_tags, tag_bits
 from larder.operators.ranking import rank_within
-from larder.operators.skew import skew_join
 
 TAG_TABLES = {
     "dietary_labels": vocab.DIETARY, "allergens": vocab.ALLERGENS, "sweeteners": vocab.SWEETENERS,
@@ -63,13 +62,13 @@ def series_points(history: DataFrame) -> DataFrame:
     (0 for a flat series).
 
     Positions come from range partitions and the per-product span from an aggregate, so a product
-    with most of the history is never held by one task.
+    with most of the history is never held by one task; adaptive execution splits it in the join.
     """
     placed = price_history(history)
     spans = price_range(history).select("product_id", "min_cents", "max_cents", "observations")
     n, low, high = F.col("observations"), F.col("min_cents"), F.col("max_cents")
     span = F.coalesce(F.nullif(high - low, F.lit(0)), F.lit(1))
-    return skew_join(placed, spans, "product_id").select(
+    return placed.join(spans, "product_id").select(
         "product_id", "variant_id", "captured_at", "price_cents", "pos",
         F.when(n == 1, 0.5).otherwise(F.try_divide(F.col("pos") - 1, n - 1)).alias("x"),
         ((F.col("price_cents") - low) / span).alias("y"),

@@ -9,7 +9,6 @@ from larder.functions.facets import add_facts
 from larder.functions.nutrition import barcode_nutrition
 from larder.functions.text import stage
 from larder.operators.quality import route_validated, validate_nutrition
-from larder.operators.skew import skew_join
 
 
 def variants_missing(variants: DataFrame, having: DataFrame) -> DataFrame:
@@ -29,8 +28,9 @@ def one_per_barcode(barcode_products: DataFrame) -> DataFrame:
 
 
 def enrich_by_upc(missing: DataFrame, barcode_products: DataFrame) -> DataFrame:
-    """Worklist joined with the barcode database and parsed; one row per hit."""
-    hits = skew_join(missing, one_per_barcode(barcode_products), "upc")
+    """Worklist joined with the barcode database and parsed; one row per hit. Only the worklist can
+    hold a barcode often, and adaptive execution splits such a side."""
+    hits = missing.join(one_per_barcode(barcode_products), "upc")
     return stage(hits, {"n": barcode_nutrition(F.col("product"), F.col("size_g"))})
 
 
@@ -52,7 +52,7 @@ def barcode_facts(hits: DataFrame) -> DataFrame:
 
 
 def enrich_facts(missing: DataFrame, barcode_products: DataFrame) -> DataFrame:
-    hits = skew_join(missing, one_per_barcode(barcode_products), "upc")
+    hits = missing.join(one_per_barcode(barcode_products), "upc")
     told = barcode_facts(hits).filter(F.col("facts").isNotNull())
     return told.select("variant_id", "facts.*")
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.components import connected
-from larder.operators.skew import skew_join
 
 
 def upc_to_product(variants: DataFrame, listings: DataFrame) -> DataFrame:
@@ -28,15 +27,15 @@ def resolve_products(offers: DataFrame, known_upcs: DataFrame) -> DataFrame:
     barcode, and the rest their own: the ``dedup_key`` of their first offer. One pass: chains of
     barcodes are not followed.
 
-    Barcodes are reduced to one row before they meet the offers again, and a barcode that
-    many offers carry is salted in that join. Offers without one never enter it.
+    Barcodes are reduced to one row before they meet the offers again; of a barcode that many
+    offers carry only that side is heavy, and adaptive execution splits it. Offers without one never enter the join.
     """
     names = offers.groupBy("listing_id").agg(F.min_by("dedup_key", "position").alias("_own"))
     coded = offers.filter(F.col("upc").isNotNull() & (F.col("upc") != "")).select("listing_id", "position", "upc")
     coded = coded.join(names, "listing_id")
     shared = coded.groupBy("upc").agg(F.min("_own").alias("_shared"))
     existing = known_upcs.groupBy("upc").agg(F.min("product_key").alias("_known"))
-    hits = skew_join(coded, shared.join(existing, "upc", "left"), "upc")
+    hits = coded.join(shared.join(existing, "upc", "left"), "upc")
     known_at = F.when(F.col("_known").isNotNull(), F.col("position"))
     picked = hits.groupBy("listing_id").agg(
         F.min_by("_known", known_at).alias("_known"), F.min_by("_shared", "position").alias("_shared")

@@ -121,6 +121,7 @@ ORACLE = {
     "scan_sweeteners": doc("sweeteners", joined(p.tags("low", vocab.SWEETENERS))),
     "extract_ingredients": doc("ingredients", p.ingredients("body")),
     "derive_facts": f"WITH {DOCS}, listed AS (SELECT *, {p.ingredients('body')} AS ing FROM docs), {p.facts_ctes('told', 'listed', 'ing', 'body')} SELECT doc_id, ingredients_text_ AS ingredients_text, {TAGS3} FROM told",
+    "html_page_text": f"SELECT page_id, replace(replace({p.html_text('html')}, '&copy;', '©'), '&middot;', '·') AS text FROM pages",
     "html_to_text": f"SELECT page_id, {p.html_text('html')} AS text FROM pages",
     "search_grams": page(f"SELECT page_id, {p.facts_fields('text')['fat_g']} AS fat_g FROM texts"),
     "search_number": page(f"SELECT page_id, {p.facts_fields('text')['calories_kcal']} AS kcal FROM texts"),

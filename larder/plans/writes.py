@@ -274,20 +274,16 @@ def stream_price_append(cat: StarCatalog) -> DataFrame:
 
 
 def stream_latest_price(cat: StarCatalog) -> DataFrame:
-    incoming = _stream(cat, cat.prices, "prices")
-    table = jobs.BucketedTable(cat.spark, _scratch(cat, "latest"), incoming.schema, ["variant_id"])
-    jobs.latest_price(incoming, "variant_id", table, _scratch(cat, "ckpt")).awaitTermination()
-    return table.read().drop("seq")
+    incoming, out = _stream(cat, cat.prices, "prices"), _scratch(cat, "latest")
+    jobs.latest_price(incoming, "variant_id", out, _scratch(cat, "ckpt")).awaitTermination()
+    return jobs.read_latest(cat.spark, out, "variant_id").drop("seq")
 
 
 def stream_catalog_upsert(cat: StarCatalog) -> DataFrame:
-    seen = arrivals(cat)
-    incoming = _stream(cat, seen, "arrivals")
+    incoming, out = _stream(cat, arrivals(cat), "arrivals"), _scratch(cat, "listings")
     policy = POLICIES["listings"]
-    table = jobs.BucketedTable(
-        cat.spark, _scratch(cat, "listings"), jobs.upsert_states(seen, policy).schema, list(policy.key))
-    jobs.catalog_upsert(incoming, table, policy, _scratch(cat, "ckpt")).awaitTermination()
-    return table.read().select(*policy.columns)
+    jobs.catalog_upsert(incoming, policy, out, _scratch(cat, "ckpt")).awaitTermination()
+    return jobs.read_upserted(cat.spark, out, policy).select(*policy.columns)
 
 
 def stream_validate_route(cat: StarCatalog) -> DataFrame:

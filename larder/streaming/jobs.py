@@ -7,7 +7,6 @@ the batch's number, so a batch that is run again after a failure replaces its ow
 from __future__ import annotations
 
 import os
-from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +17,6 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 from larder.operators.quality import route_validated, validate_nutrition
 from larder.operators.upserts import UpsertPolicy
 
-BUCKETS = 16
-
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -59,75 +56,40 @@ def price_append(observations: DataFrame, key: list[str], path: str, checkpoint:
     return run_batches(observations, run, checkpoint)
 
 
-class BucketedTable:
-    """A parquet table by hash bucket of its key; a batch rewrites the buckets it touches.
+def changes(folded: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the keys that each batch changed, with their new state, to the batch's own folder.
 
-    Each bucket keeps its versions by batch number. A batch reads what was there before it, so
-    running it again changes nothing; the last two versions of a bucket stay, older ones go.
+    ``folded`` is an aggregate of the stream by key; Spark's state store holds it, dealt over as many
+    partitions as the session shuffles into. A batch costs what it touches, and one that is run again
+    replaces its own folder.
     """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+
+    return (
+        folded.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
 
-    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: list[str], buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self.key, self.buckets = spark, root, key, buckets
-        self.columns = schema.names
-        self.schema = StructType([*schema.fields, StructField("bucket", LongType()), StructField("version", LongType())])
-        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("bucket", "version").parquet(root)
-
-    def versions(self) -> dict[int, list[int]]:
-        """The versions of each bucket, from the folder names: at most three a bucket."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/bucket=*/version=*")
-        found = defaultdict(list)
-        for status in pattern.getFileSystem(conf).globStatus(pattern) or []:
-            bucket, version = (part.split("=")[1] for part in status.getPath().toString().split("/")[-2:])
-            found[int(bucket)].append(int(version))
-        return {bucket: sorted(held) for bucket, held in found.items()}
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets).cast("long"))
-
-    def _at(self, batch_id: int | None) -> DataFrame:
-        every = self.spark.read.schema(self.schema).parquet(self.root)
-        newest = {b: max((v for v in held if batch_id is None or v < batch_id), default=None) for b, held in self.versions().items()}
-        wanted = F.lit(False)
-        for bucket, version in newest.items():
-            if version is not None:
-                wanted |= (F.col("bucket") == bucket) & (F.col("version") == version)
-        return every.filter(wanted)
-
-    def read(self) -> DataFrame:
-        return self._at(None).select(*self.columns)
-
-    def merge(self, batch: DataFrame, batch_id: int, fold: Callable[[DataFrame], DataFrame]) -> None:
-        """Each touched bucket becomes ``fold`` of its rows and the batch's."""
-        new = fold(batch).select(*self.columns).withColumn("bucket", self._bucket())
-        old = self._at(batch_id).join(new.select("bucket").distinct(), "bucket", "left_semi")
-        both = fold(old.select(*self.columns).unionByName(new.select(*self.columns)))
-        placed = both.withColumn("bucket", self._bucket()).withColumn("version", F.lit(batch_id).cast("long"))
-        _replace(placed.repartition(self.buckets, "bucket"), self.root, "bucket", "version")
-        self._drop_old()
-
-    def _drop_old(self) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for bucket, held in self.versions().items():
-            for version in held[:-2]:
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/bucket={bucket}/version={version}")
-                path.getFileSystem(conf).delete(path, True)
-
-
-def latest_price(observations: DataFrame, key: str, table: BucketedTable, checkpoint: str) -> StreamingQuery:
-    """Keeps the last observation per key in ``table``, which holds the columns of the stream."""
-    rest = [c for c in observations.columns if c not in (key, "captured_at", "seq")]
-
-    def fold(rows: DataFrame) -> DataFrame:
-        last = rows.groupBy(key).agg(F.max(F.struct("captured_at", "seq", *rest)).alias("last"))
-        return last.select(key, "last.*")
-
-    return run_batches(observations, lambda batch, batch_id: table.merge(batch, batch_id, fold), checkpoint)
+def fold_latest(rows: DataFrame, key: str) -> DataFrame:
+    """The last observation per key, whatever order its rows came in."""
+    rest = [c for c in rows.columns if c not in (key, "captured_at", "seq")]
+    return rows.groupBy(key).agg(F.max(F.struct("captured_at", "seq", *rest)).alias("last")).select(key, "last.*")
+
+
+def latest_price(observations: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the last observation per key; :func:`read_latest` reads it."""
+    return changes(fold_latest(observations, key), path, checkpoint)
+
+
+def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The states that batches wrote, folded once more: the last of a key's states is the greatest."""
+    return fold_latest(spark.read.parquet(path).drop("batch"), key)
 
 
 def upsert_states(incoming: DataFrame, policy: UpsertPolicy, seq: str = "seq") -> DataFrame:
-    """Rows as they lie in the table of ``catalog_upsert``: the policy's columns and the places in
-    the order of arrival of the newest update and of the first insert."""
+    """Rows with the places in the order of arrival of the newest update and of the first insert."""
     return incoming.select(*policy.columns, F.col(seq).alias("updated_seq"), F.col(seq).alias("inserted_seq"))
 
 
@@ -141,12 +103,13 @@ def fold_states(rows: DataFrame, policy: UpsertPolicy) -> DataFrame:
     return folded.select(*policy.key, "_new.*", "_first.*", *policy.latest, *policy.earliest)
 
 
-def catalog_upsert(incoming: DataFrame, table: BucketedTable, policy: UpsertPolicy, checkpoint: str) -> StreamingQuery:
-    """Merges by natural key; ``table`` has the columns of :func:`upsert_states`."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        table.merge(upsert_states(batch, policy), batch_id, lambda rows: fold_states(rows, policy))
+def catalog_upsert(incoming: DataFrame, policy: UpsertPolicy, path: str, checkpoint: str) -> StreamingQuery:
+    """Merges by natural key; :func:`read_upserted` reads the table."""
+    return changes(fold_states(upsert_states(incoming, policy), policy), path, checkpoint)
+
 
-    return run_batches(incoming, run, checkpoint)
+def read_upserted(spark: SparkSession, path: str, policy: UpsertPolicy) -> DataFrame:
+    return fold_states(spark.read.parquet(path).drop("batch"), policy)
 
 
 def validate_route(candidates: DataFrame, accepted_path: str, issues_path: str,

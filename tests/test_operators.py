@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import enrich, grouping, metrics, quality, ranking, resolve, skew, upserts
+from larder.operators import enrich, grouping, metrics, quality, ranking, resolve, upserts
 from larder.operators.filters import FilterSpec
 from larder.sources import feeds, retailers
 
@@ -69,18 +69,6 @@ def test_global_and_group_rank_match_brute_force(spark):
     assert placed == expect
 
 
-def test_skew_join_keeps_every_row(spark):
-    fact = spark.createDataFrame([("hot" if i % 2 else f"k{i}", i) for i in range(1000)], "k string, i int")
-    dim = spark.createDataFrame([("hot", 1), ("k2", 2), ("k4", 3)], "k string, d int")
-    assert skew.hot_keys(fact, "k", 8) == {"hot": 4}  # half of the rows fill four of eight partitions
-    for how in ("inner", "left"):
-        got = sorted(map(str, skew.skew_join(fact, dim, "k", how).select("k", "i", "d").collect()))
-        assert got == sorted(map(str, fact.join(dim, "k", how).select("k", "i", "d").collect()))
-    for how in ("right", "full"):
-        with pytest.raises(ValueError):
-            skew.skew_join(fact, dim, "k", how)
-
-
 def test_best_offer_counts_only_matching_rows(spark):
     rows = [("p", "s1", "v1", 200, 3.0), ("p", "s1", "v2", 100, 5.0), ("p", "s2", "v3", 90, 5.0), ("q", "s1", "v4", 10, 1.0)]
     df = spark.createDataFrame(rows, "product_id string, source_slug string, variant_id string, price_cents int, protein_per_dollar double")
