@@ -28,6 +28,9 @@ text are read.
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, stored
+from larder.llm.common import documents, drop, stored, worker_tool
 
 SHARDS = 4
 THRESHOLD = 10
@@ -145,6 +148,12 @@ class Block:
                 names=["lang", "phrase", "words", "start", "n"])
 
 
+def _unpacked(shared) -> tuple[np.ndarray, np.ndarray, int]:
+    """A step's tables, unpacked once in a worker."""
+    key, words, pairs, bits = shared.value
+    return worker_tool(("phrases", key), lambda: (*(np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (words, pairs)), bits))
+
+
 class Activation:
     """The driver's part: the two tables, and which phrases' cycles are still to be completed."""
 
@@ -153,7 +162,8 @@ class Activation:
         self.tables = {words: np.full(1 << max(bits, CHUNK_BITS), NEVER, dtype=np.uint8) for words in (1, 2)}
 
     def shared(self):
-        return self.spark.sparkContext.broadcast((self.tables[1], self.tables[2], self.bits))
+        """The tables for a step's tasks; mostly one value, they pack to little."""
+        return self.spark.sparkContext.broadcast((uuid.uuid4().hex, zlib.compress(self.tables[1], 1), zlib.compress(self.tables[2], 1), self.bits))
 
     def add(self, phrases: DataFrame, words: int, start: int) -> bool:
         """Marks the places of ``phrases`` (lang, phrase) that are new; whether there are any."""
@@ -195,10 +205,10 @@ def _scan(rows: DataFrame, step: int, shards: int, tables, longest: int, block_w
                 if held >= block_words:  # the largest goes first, so that the others gather more
                     block = blocks.pop(max(blocks, key=lambda x: blocks[x].size))
                     held -= block.size
-                    yield from block.counts(step, shards, tables.value, longest)
+                    yield from block.counts(step, shards, _unpacked(tables), longest)
         for block in blocks.values():
             if block.size:
-                yield from block.counts(step, shards, tables.value, longest)
+                yield from block.counts(step, shards, _unpacked(tables), longest)
 
     return rows.mapInArrow(run, COUNTED)
 
@@ -220,7 +230,9 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
     step = 0
     while any(s + shards > step for group in starts.values() for s in group):
         rows = docs.filter(shard == step % shards).coalesce(tasks)
-        steps[step] = stored(_scan(rows, step, shards, active.shared(), longest, block_words), f"phrases-{step}")
+        tables = active.shared()
+        steps[step] = stored(_scan(rows, step, shards, tables, longest, block_words), f"phrases-{step}")
+        tables.destroy()
         ended = step - shards + 1  # phrases that started there have seen every shard
         new = []
         for words in range(1, longest + 1):
@@ -248,6 +260,8 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
                     new.append(words + 1)
         for words in new:
             starts[words].add(step + 1)
+        if ended in steps:  # no later start needs what that step counted
+            drop(steps.pop(ended))
         step += 1
     counts = complete[0]
     for more in complete[1:]:
