@@ -206,7 +206,8 @@ WITH w AS (
   SELECT g.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-         len(ls) AS n_lines, len(list_distinct(ws)) AS n_distinct,
+         len(ls) AS n_lines,
+         coalesce(list_sum([len(list_distinct(ws[i:i + 1999])) for i in range(1, len(ws) + 1, 2000)]), 0) AS n_spread,
          len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutter
   FROM g LEFT JOIN c ON g.doc_id = c.doc_id
 ), b AS (
@@ -215,6 +216,6 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (n_symbols > 0.1 * n_words OR n_dup_lines > 0.4 * n_lines
          OR word_chars < 2.5 * n_words OR word_chars > 20 * n_words
-         OR n_distinct < 0.35 * n_words OR n_stutter > 0.25 * n_words) AS kept
+         OR n_spread < 0.35 * n_words OR n_stutter > 0.25 * n_words) AS kept
 FROM b
 """

@@ -61,6 +61,12 @@ def test_long_texts_keep_their_verdict(spark, tmp_path):
     got = {r.doc_id: r.kept for r in quality_cascade.query(spark, folder).collect()}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
     assert sorted(r.doc_id for r in quality_cascade.keep_good(spark.read.parquet(f"{folder}/documents.parquet")).collect()) == [0, 1, 2]
+    import duckdb
+
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    sql = tables.execute(quality_cascade.ORACLE).fetchall()
+    assert {r[0]: r[-1] for r in sql} == got
     spread = {r.doc_id: r.n_spread for r in quality_cascade.measures(spark.createDataFrame(rows, SCHEMA), F.col("text")).collect()}
     assert spread == {i: sum(len(set(t.split()[k:k + 2000])) for k in range(0, len(t.split()), 2000)) for i, t in enumerate(texts)}
 
