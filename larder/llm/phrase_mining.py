@@ -224,6 +224,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
     tasks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     active = Activation(spark, slot_bits)
     steps: dict[int, DataFrame] = {}
+    seen: dict[tuple[int, int], DataFrame] = {}  # by length and step: sums of the counts over one
     starts = {1: {0}, 2: set(), 3: set()}  # by length: the steps at which phrases of that length start
     complete: list[DataFrame] = []
     totals = None
@@ -249,14 +250,13 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
                 complete.append(sums)
                 if words < longest and active.add(sums, words, step + 1):
                     new.append(words + 1)
-            if words < longest:  # a lower bound of what has been counted so far
-                live = [s for s in steps if s > step - shards]
-                mine = steps[live[0]]
-                for s in live[1:]:
-                    mine = mine.union(steps[s])
-                mine = mine.filter((F.col("words") == words) & (F.col("n") > 1))
-                early = mine.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
-                if any(s <= step < s + shards - 1 for s in starts[words]) and active.add(early, words, step + 1):
+            if words < longest and any(s <= step < s + shards - 1 for s in starts[words]):
+                # a lower bound of what has been counted so far, from what this step and those before it found often
+                often = steps[step].filter((F.col("words") == words) & (F.col("n") > 1)).select("lang", "phrase", "n")
+                if (words, step - 1) in seen:
+                    often = often.union(seen[words, step - 1])
+                seen[words, step] = stored(often.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrases-often")
+                if active.add(seen[words, step].filter(F.col("n") >= threshold), words, step + 1):
                     new.append(words + 1)
         for words in new:
             starts[words].add(step + 1)
