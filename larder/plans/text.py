@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import facets, identity, units
 from larder.functions import nutrition as nut
-from larder.functions.html import page_text
+from larder.functions import html as markup
 from larder.functions.text import collapse_ws, stage
 from larder.operators import enrich, quality, resolve
 from larder.plans.catalog import enrichment, flat, validated
@@ -207,7 +207,7 @@ QUERIES = {
     "scan_sweeteners": _tags("sweeteners", facets.scan_sweeteners),
     "extract_ingredients": _doc("ingredients", lambda: facets.extract_ingredients(F.col("body"))),
     "derive_facts": lambda cat: flat(told_documents(cat).filter(F.col("facts").isNotNull()).select("doc_id", "facts.*")),
-    "html_page_text": lambda cat: cat.table("pages").select("page_id", page_text(F.col("html")).alias("text")),
+    "html_page_text": lambda cat: cat.table("pages").select("page_id", markup.page_text(F.col("html")).alias("text")),
     "html_to_text": lambda cat: cat.table("pages").select("page_id", nut.html_to_text(F.col("html")).alias("text")),
     "search_grams": lambda cat: page_text(cat).select("page_id", nut.search_grams(F.col("text"), nut.LABELS["fat"]).alias("fat_g")),
     "search_number": lambda cat: page_text(cat).select("page_id", nut.search_number(F.col("text"), nut.LABELS["calories"]).alias("kcal")),
