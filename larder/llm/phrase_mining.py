@@ -7,8 +7,9 @@ that, through one full cycle, so that lengths interleave and each shard counts o
 
 1. When a phrase is activated is kept in two tables of 2^``SLOT_BITS`` bytes, one for words and one for
    pairs: the first step that counts what holds them, at a place given by their hash. A phrase
-   starts at the later step of its two parts. Two parts in one place can only start a phrase early;
-   it is still counted for exactly one cycle. The tables never grow with the data.
+   starts at the later step of its two parts, whether or not the parts themselves are counted yet, so
+   that its start never changes once it is known. Two parts in one place can only start a phrase
+   early; it is still counted for exactly one cycle. The tables never grow with the data.
 2. A task counts the active phrases of its rows in blocks of at most ``BLOCK_WORDS`` words. Counts
    are written by step, with the phrase's start.
 3. Sums of counts over one in a block show early which phrases have reached the threshold. When a
@@ -101,7 +102,8 @@ class Block:
     def counts(self, step: int, shards: int, tables: tuple, longest: int):
         """Batches of (COUNTED) for the phrases that this step counts."""
         words_at, pairs_at, bits = tables
-        ids = np.concatenate(self.runs).astype(np.int64)
+        ids = np.concatenate(self.runs)
+        self.runs.clear()
         names = list(self.numbers)
         hashes = np.array([word_hash(self.lang, w) for w in names], dtype=np.uint64)
         names[0] = b""
@@ -110,27 +112,29 @@ class Block:
             n = np.bincount(ids, minlength=len(names))
             found = 1 + np.flatnonzero(n[1:])
             yield from self._batches([found], n[found], 0, text)
-        start = words_at[_place(hashes, bits)].astype(np.int64)
+        start = words_at[_place(hashes, bits)]
         start[0] = NEVER
         a, b = ids[:-1], ids[1:]
-        begins = np.maximum(start[a], start[b])
-        yield from self._counted([a, b], begins, step, shards, text)
+        yield from self._counted([a, b], np.maximum(start[a], start[b]), step, shards, text)
         if longest > 2 and len(ids) > 2:
-            whole = (a != 0) & (b != 0)
-            pair_at = np.full(len(a), NEVER, dtype=np.int64)
-            known = np.flatnonzero(whole & (begins != NEVER))
-            pair_at[known] = pairs_at[_place(_pair(hashes[a[known]], hashes[b[known]]), bits)]
-            begins = np.maximum(pair_at[:-1], pair_at[1:])
-            yield from self._counted([ids[:-2], ids[1:-1], ids[2:]], begins, step, shards, text)
+            pair_at = np.full(len(a), NEVER, dtype=np.uint8)
+            for at in range(0, len(a), BATCH_ROWS):
+                x, y = a[at:at + BATCH_ROWS], b[at:at + BATCH_ROWS]
+                pair_at[at:at + BATCH_ROWS] = np.where((x != 0) & (y != 0), pairs_at[_place(_pair(hashes[x], hashes[y]), bits)], NEVER)
+            yield from self._counted([ids[:-2], ids[1:-1], ids[2:]], np.maximum(pair_at[:-1], pair_at[1:]), step, shards, text)
 
     def _counted(self, columns: list, begins: np.ndarray, step: int, shards: int, text: pa.Array):
-        for start in np.unique(begins[(begins <= step) & (begins > step - shards)]).tolist():
+        for start in range(max(0, step - shards + 1), step + 1):
             mine = np.flatnonzero(begins == start)
+            if not len(mine):
+                continue
             bits = len(text).bit_length()
             if bits * len(columns) < 64:
-                code = columns[0][mine]
+                code = columns[0][mine].astype(np.int64)
                 for c in columns[1:]:
-                    code = (code << bits) | c[mine]
+                    code <<= bits
+                    code |= c[mine]
+                del mine
                 code, n = np.unique(code, return_counts=True)
                 parts = [(code >> (bits * k)) & ((1 << bits) - 1) for k in range(len(columns) - 1, -1, -1)]
             else:

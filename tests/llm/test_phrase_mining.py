@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,19 @@ def test_few_places_for_all(spark):
     assert made(phrase_mining.collocations(docs, threshold=4, slot_bits=1, shards=3)) == brute(rows, 4)
 
 
+def test_shared_places_lose_no_count(spark):
+    """Pairs whose places early pairs took before their own words were frequent; their longer phrases are counted whole."""
+    rng, bits = random.Random(3), 8
+    place = lambda w: int(phrase_mining._place(np.array([phrase_mining.word_hash("en", w.encode())], dtype=np.uint64), bits)[0])
+    early = [f"w{i}" for i in range(30)]
+    taken = {place(w) for w in early}
+    late = [w for w in (f"z{i}" for i in range(300)) if place(w) not in taken][:60]
+    rows = [("en", " ".join(rng.choice(early) for _ in range(100))) for _ in range(300)]
+    rows += [("en", f"{' '.join(late[k:k + 3])} . x{k}y{n}") for k in range(0, 60, 3) for n in range(4)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert made(phrase_mining.collocations(docs, threshold=4, slot_bits=bits)) == brute(rows, 4)
+
+
 def test_late_words_are_caught(spark):
     """Words that reach the threshold with the last shard only, and phrases that do so later still."""
     rows = [("en", f"alpha{i} beta{i} gamma{i}") for i in range(6) for _ in range(10)]
