@@ -140,3 +140,9 @@ def test_json_ld_of_any_depth(spark):
     want = {i: collect(t) for i, t in enumerate(trees) if t != "[[["} | {99: [n for t in trees if t != "[[[" for n in collect(t)]}
     assert {n: [names[k] for k in sorted(names)] for n, names in got.items()} == {n: names for n, names in want.items() if names}
     assert os.sep
+
+
+def test_refresh_works_out_the_touched_variants_once(cat):
+    brand = cat.brands.filter("name = 'Brand#7'").select("brand_id")
+    fresh = refresh.refresh(cut_lineage(catalog.view(cat)), cat, {"brands": brand})
+    assert any("/touched-" in path for path in fresh.inputFiles())
