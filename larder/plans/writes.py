@@ -252,14 +252,18 @@ def _scratch(cat: StarCatalog, name: str) -> str:
     return os.path.join(shared_folder(cat.spark), f"{name}-{uuid.uuid4().hex}")
 
 
-LANDED_FILES = 8
+BATCHES = 8
 
 
 def _stream(cat: StarCatalog, rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` landed in files without regard to their order, and read back one file a batch."""
+    """``rows`` landed in files without regard to their order, and read back in eight batches.
+
+    As many tasks land them as the session shuffles into, so that no task writes a whole batch.
+    """
     path = _scratch(cat, name)
-    rows.repartition(LANDED_FILES).write.parquet(path)
-    return jobs.read_stream(cat.spark, path, rows.schema)
+    per_batch = -(-int(cat.spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES)
+    rows.repartition(BATCHES * per_batch).write.parquet(path)
+    return jobs.read_stream(cat.spark, path, rows.schema, per_batch)
 
 
 def stream_price_append(cat: StarCatalog) -> DataFrame:

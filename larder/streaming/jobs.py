@@ -56,20 +56,17 @@ def price_append(observations: DataFrame, key: list[str], path: str, checkpoint:
     return run_batches(observations, run, checkpoint)
 
 
-def changes(folded: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the keys that each batch changed, with their new state, to the batch's own folder.
+def changes(rows: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what each batch says of its keys, one row a key, to the batch's own folder.
 
-    ``folded`` is an aggregate of the stream by key; Spark's state store holds it, dealt over as many
-    partitions as the session shuffles into. A batch costs what it touches, and one that is run again
-    replaces its own folder.
+    ``fold`` gives the same whatever order and portions its rows come in, so that readers fold the
+    folders once more. No state is held between batches: a batch costs what it brings, however many
+    keys came before, and one that is run again replaces its own folder.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        fold(batch).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
-    return (
-        folded.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return run_batches(rows, write, checkpoint)
 
 
 def fold_latest(rows: DataFrame, key: str) -> DataFrame:
@@ -80,11 +77,11 @@ def fold_latest(rows: DataFrame, key: str) -> DataFrame:
 
 def latest_price(observations: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the last observation per key; :func:`read_latest` reads it."""
-    return changes(fold_latest(observations, key), path, checkpoint)
+    return changes(observations, lambda rows: fold_latest(rows, key), path, checkpoint)
 
 
 def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The states that batches wrote, folded once more: the last of a key's states is the greatest."""
+    """The rows that batches wrote, folded once more: the last of a key's rows is the greatest."""
     return fold_latest(spark.read.parquet(path).drop("batch"), key)
 
 
@@ -105,7 +102,7 @@ def fold_states(rows: DataFrame, policy: UpsertPolicy) -> DataFrame:
 
 def catalog_upsert(incoming: DataFrame, policy: UpsertPolicy, path: str, checkpoint: str) -> StreamingQuery:
     """Merges by natural key; :func:`read_upserted` reads the table."""
-    return changes(fold_states(upsert_states(incoming, policy), policy), path, checkpoint)
+    return changes(upsert_states(incoming, policy), lambda rows: fold_states(rows, policy), path, checkpoint)
 
 
 def read_upserted(spark: SparkSession, path: str, policy: UpsertPolicy) -> DataFrame:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from larder.operators.upserts import UpsertPolicy
+from larder.plans import writes
+from larder.sources.adapter import StarCatalog
 from larder.streaming import jobs
 
 PRICES = "variant_id string, price_cents long, captured_at timestamp_ntz, seq long, event_id long"
@@ -49,3 +51,21 @@ def test_upserts_in_any_order_and_again(spark, tmp_path):
         jobs.catalog_upsert(stream, policy, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
         got = jobs.read_upserted(spark, f"{tmp_path}/out", policy).collect()
         assert sorted((r.k, r.name, r.first_name, r.seen) for r in got) == [(1, None, "a", 5), (2, "x", "x", 1)]
+
+
+def test_a_batch_holds_no_state_and_is_landed_by_many_tasks(spark, tmp_path):
+    run = jobs.latest_price(landed(spark, f"{tmp_path}/in"), "variant_id", f"{tmp_path}/table", f"{tmp_path}/ckpt")
+    run.awaitTermination()
+    assert run.lastProgress["stateOperators"] == []
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        cat = StarCatalog(spark, "/root/testdata/sf0.001")
+        rows = writes._stream(cat, spark.range(4000), "rows")
+        run = jobs.run_batches(rows, lambda batch, k: batch.write.parquet(f"{tmp_path}/seen/batch={k}"), f"{tmp_path}/ckpt2")
+        run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    seen = spark.read.parquet(f"{tmp_path}/seen")
+    assert sorted(r.id for r in seen.collect()) == list(range(4000))
+    sizes = [r["count"] for r in seen.groupBy("batch").count().collect()]
+    assert len(sizes) == 8 and len(seen.inputFiles()) > 8
