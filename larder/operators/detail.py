@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import vocab
 from larder.functions.facets import bits_to_tags, tag_bits
 from larder.operators.ranking import rank_within
+from larder.session import kept
 
 TAG_TABLES = {
     "dietary_labels": vocab.DIETARY, "allergens": vocab.ALLERGENS, "sweeteners": vocab.SWEETENERS,
@@ -41,10 +42,10 @@ def product_history(prices: DataFrame, variants: DataFrame, listings: DataFrame)
     return points.join(owners.drop("listing_id"), "variant_id")
 
 
-def price_history(history: DataFrame) -> DataFrame:
+def price_history(history: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Every product's observations in time order, ``pos`` from 1."""
     order = [F.col("captured_at").asc(), F.col("seq").asc(), F.col("variant_id").asc()]
-    return rank_within(history, ["product_id"], order)
+    return rank_within(history, ["product_id"], order, sizes=sizes)
 
 
 def price_range(history: DataFrame) -> DataFrame:
@@ -61,14 +62,16 @@ def series_points(history: DataFrame) -> DataFrame:
     """Sparkline geometry: x in 0..1 by position (0.5 for a single point), y in 0..1 by price
     (0 for a flat series).
 
-    Positions come from range partitions and the per-product span from an aggregate, so a product
-    with most of the history is never held by one task; adaptive execution splits it in the join.
+    The history is stored once, for its spans and its points. Spans meet the points before these are
+    numbered, both by product, so that one shuffle serves the join and the numbering.
     """
-    placed = price_history(history)
-    spans = price_range(history).select("product_id", "min_cents", "max_cents", "observations")
+    history = kept(history, "history")
+    spans = kept(price_range(history).select("product_id", "min_cents", "max_cents", "observations"), "spans")
+    sizes = spans.select("product_id", F.col("observations").alias("_n"))
+    placed = price_history(history.join(spans, "product_id"), sizes)
     n, low, high = F.col("observations"), F.col("min_cents"), F.col("max_cents")
     span = F.coalesce(F.nullif(high - low, F.lit(0)), F.lit(1))
-    return placed.join(spans, "product_id").select(
+    return placed.select(
         "product_id", "variant_id", "captured_at", "price_cents", "pos",
         F.when(n == 1, 0.5).otherwise(F.try_divide(F.col("pos") - 1, n - 1)).alias("x"),
         ((F.col("price_cents") - low) / span).alias("y"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.filters import FilterSpec
-from larder.session import cut_lineage
+from larder.session import cut_lineage, kept
 
 PAGE_SIZE = 50
+HUGE = 1_000_000  # a group with fewer rows is sorted by one task
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low 33 bits
 
 
@@ -61,11 +65,31 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     )
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "pos", sizes: DataFrame | None = None) -> DataFrame:
     """1-based position inside each group under a total order, for groups of any size.
 
-    Rows are range partitioned by (group, order), so a huge group spans several partitions and
-    each is numbered on its own. Only groups that cross a partition border need an offset; there
+    Groups that a task can sort are numbered in one shuffle by group. Those with more rows than an
+    even partition are range partitioned by (group, order), so that a huge group spans several
+    partitions and each is numbered on its own; there are fewer of them than shuffle partitions, so
+    their table is broadcast. ``sizes`` (the group, ``_n``) saves storing ``df`` to count its groups.
+    """
+    if sizes is None:
+        df = kept(df, "ranked")
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = kept(sizes, "sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    even = max(HUGE, total // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    huge = sizes.filter(F.col("_n") > even).select(*[F.col(g).alias(f"_{g}") for g in group])
+    local = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
+    if huge.isEmpty():
+        return df.withColumn(name, local)
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])
+    light = df.join(F.broadcast(huge), same, "left_anti").withColumn(name, local)
+    return light.unionByName(_rank_across(df.join(F.broadcast(huge), same, "left_semi"), group, order, name))
+
+
+def _rank_across(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """The same where groups span range partitions. Only groups that cross a border need an offset; there
     is at most one such (group, partition) pair per partition, so that table is bounded by the
     number of partitions and is broadcast.
     """
@@ -76,14 +100,15 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
     crossing = (
         counts.withColumn("_before", F.sum("_n").over(before))
         .filter(F.col("_before") > 0)
-        .drop("_n")
+        .select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_at"), "_before")
     )
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group], F.col("_part") == F.col("_at"))
     local = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_place")).cast("long")
     return (
         placed.withColumn("_local", local)
-        .join(F.broadcast(crossing), [*group, "_part"], "left")
+        .join(F.broadcast(crossing), same, "left")
         .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .drop("_part", "_place", "_local", "_before")
+        .select(*df.columns, name)
     )
 
 
