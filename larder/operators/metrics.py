@@ -159,14 +159,17 @@ def offer_rows(cat) -> DataFrame:
     Variant-keyed sides are joined first while they share one partitioning. Ranking works on
     these rows and meets the product tables only after grouping to one row per product.
     """
+    return _offers(cat, cat.listings.select("listing_id", "product_id", "source_id", "url")).select(*OFFER_COLUMNS)
+
+
+def _offers(cat, listings: DataFrame) -> DataFrame:
     offers = join_latest_price(cat.variants, cat.prices)
     offers = join_optional_facts(join_optional_nutrition(offers, cat.nutrition), cat.facts)
-    listings = cat.listings.select("listing_id", "product_id", "source_id", "url")
     sources = cat.sources.select(
         "source_id", F.col("slug").alias("source_slug"), F.col("type").alias("source_type"), "market"
     )
     joined = offers.join(listings, "listing_id").join(sources, "source_id")
-    return coalesce_defaults(joined).withColumns(metric_columns()).select(*OFFER_COLUMNS)
+    return coalesce_defaults(joined).withColumns(metric_columns())
 
 
 def attach_product(df: DataFrame, cat) -> DataFrame:
@@ -179,7 +182,9 @@ def attach_product(df: DataFrame, cat) -> DataFrame:
 
 
 def listing_metrics(cat) -> DataFrame:
-    return attach_product(offer_rows(cat), cat).select(*VIEW_COLUMNS)
+    """The view. Names meet the listings, a few keys a row, and these meet the offers: no whole offer is shuffled by product."""
+    named = attach_product(cat.listings.select("listing_id", "product_id", "source_id", "url"), cat)
+    return _offers(cat, named).select(*VIEW_COLUMNS)
 
 
 def join_catalog_dims(cat) -> DataFrame:

@@ -309,9 +309,8 @@ QUERIES: dict[str, Query] = {
     "page_listings_2": lambda cat: grid_page(cat, FilterSpec(market="UK"), 2),
     "page_listings_last": lambda cat: last_page(cat, FilterSpec(market="UK")),
     "page_bounds": page_table,
-    "product_detail_rows": lambda cat: detail.product_detail_rows(view(cat)).select(
-        "product_id", "variant_id", "market", "protein_per_dollar", "pos"
-    ),
+    "product_detail_rows": lambda cat: detail.product_detail_rows(  # only what the page shows is stored and ranked
+        view(cat).select("product_id", "variant_id", "market", "protein_per_dollar")),
     "price_history": lambda cat: detail.price_history(history(cat)).select(
         "product_id", "variant_id", "captured_at", "price_cents", "pos"
     ),
