@@ -10,6 +10,7 @@ from larder.operators.filters import FilterSpec
 from larder.operators.metrics import (
     NUTRITION_COLUMNS, OFFER_COLUMNS, VIEW_COLUMNS, attach_product, join_latest_price, listing_metrics, metric_columns, offer_rows,
 )
+from larder.session import kept
 from larder.sources.adapter import Catalog
 
 
@@ -94,11 +95,17 @@ class _Part(Catalog):
 
     def __getattr__(self, name: str) -> DataFrame:
         rows = getattr(self.cat, name)
+        if name == "listings":
+            return rows.join(F.broadcast(self.variants.select("listing_id")), "listing_id", "left_semi")
         return rows.join(F.broadcast(self.keys), "variant_id", "left_semi") if "variant_id" in rows.columns else rows
 
 
 def fetch_offers(cat, keys: DataFrame) -> DataFrame:
-    """The whole view rows of ``keys`` (``variant_id`` and columns of its own), which are no more than a page."""
+    """The whole view rows of ``keys`` (``variant_id`` and columns of its own), which are no more than a page.
+
+    The page is stored first: every table is cut down to it, and none of them ranks the offers again.
+    """
+    keys = kept(keys, "page")
     view = listing_metrics(_Part(cat, keys))
     return view.join(F.broadcast(keys.select("variant_id", *[c for c in keys.columns if c not in view.columns])), "variant_id")
 
