@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from larder.llm import bm25_wand, quality_cascade, weak_labels
@@ -109,3 +111,44 @@ def test_first_batches_are_pruned(spark, monkeypatch):
     want = {(q, k): s for q, _, k, s in brute(rows, 10, None)}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
     assert merged[-1].count() < 0.75 * 16 * len(got)  # not the best ten of each of 16 tasks
+
+
+def test_words_are_counted_once_a_batch():
+    texts = ["B a\tb\x0b c ", None, "", " \n", "É é e b", "a"]
+    words, numbers, texts_of, tf, lengths = bm25_wand.counted(pa.array(texts, pa.string()))
+    want = {(w.decode(), i, c) for i, t in enumerate(texts) for w, c in Counter(words_of(t)).items()}
+    assert {(words[w].as_py(), i, c) for w, i, c in zip(numbers.tolist(), texts_of.tolist(), tf.tolist(), strict=True)} == want
+    assert lengths.tolist() == [4, 0, 0, 0, 3, 1] and bm25_wand.counted(pa.array([], pa.string()))[4].tolist() == []
+
+
+def test_common_words_are_a_product_and_rare_ones_lists(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(.6)), 900)}" for _ in range(rng.randrange(0, 90))) for _ in range(700)]
+    queries = [np.array(sorted({min(int(rng.paretovariate(.5)), 900) - 1 for _ in range(rng.randrange(1, 40))})) for _ in range(150)]
+    words, weights = pa.array([f"w{i + 1}" for i in range(900)]), np.array([1 + rng.random() for _ in range(900)])
+    asked = np.bincount(np.concatenate(queries), minlength=900) / len(queries)
+    least = [rng.choice([0.0, 3.0, 9.0, 1e9]) for _ in queries]
+    monkeypatch.setattr(bm25_wand, "BLOCK", 16)
+    found, dense = [], []
+    for share, short in ((0.01, 8), (2.0, 0), (0.0, 8)):
+        monkeypatch.setattr(bm25_wand, "DENSE", share)
+        monkeypatch.setattr(bm25_wand, "SHORT", short)
+        shard = bm25_wand.Shard(pa.array(texts), words, weights, 40.0, asked)
+        dense.append(len(shard.dense))
+        found.append([dict(hits) for hits in shard.search(queries, least, 10)])
+    assert 0 < dense[0] < dense[2] and dense[1] == 0
+    for q, low, *hits in zip(queries, least, *found, strict=True):
+        scores = []
+        for d, t in enumerate(texts):
+            c = Counter(t.split())
+            scores.append((d, sum(weights[w] * c[f"w{w + 1}"] * 2.2 / (c[f"w{w + 1}"] + 1.2 * (.25 + .75 * c.total() / 40)) for w in q.tolist())))
+        floor = max(low, sorted((s for _, s in scores), reverse=True)[9] - 1e-7, 1e-12)
+        want = {d: s for d, s in scores if s >= floor}
+        assert all(h.keys() == want.keys() and all(abs(h[d] - want[d]) < 1e-6 for d in want) for h in hits)
+
+
+def test_popular_words_stay_within_the_matrix(monkeypatch):
+    monkeypatch.setattr(bm25_wand, "CELLS", 30)
+    texts = pa.array(["a b c d e"] * 10)
+    shard = bm25_wand.Shard(texts, pa.array(list("abcde")), np.ones(5), 5.0, np.ones(5))
+    assert shard.dense.size == 30 and [len(h) for h in shard.search([np.arange(5)], [0.0], 10)] == [10]
