@@ -1,6 +1,6 @@
 """Phrase collocations by dynamic itemset counting.
 
-The documents fall by hash into ``SHARDS`` shards that are scanned in a cycle, one a step. Words are
+The documents fall by hash into ``SHARDS`` shards, stored apart once, that are scanned in a cycle, one a step. Words are
 counted from the first step on. A phrase of two words is activated once both words have reached the
 threshold, one of three once both its two-word parts have. A phrase is counted from the step after
 that, through one full cycle, so that lengths interleave and each shard counts once for it.
@@ -10,7 +10,7 @@ that, through one full cycle, so that lengths interleave and each shard counts o
    starts at the later step of its two parts, whether or not the parts themselves are counted yet, so
    that its start never changes once it is known. Two parts in one place can only start a phrase
    early; it is still counted for exactly one cycle. The tables never grow with the data.
-2. A task counts the active phrases of its rows in blocks of at most ``BLOCK_WORDS`` words. Counts
+2. A task counts the active phrases of its rows in blocks of about ``BLOCK_WORDS`` words at most. Counts
    are written by step, with the phrase's start.
 3. Sums of counts over one in a block show early which phrases have reached the threshold. When a
    start has been through its cycle, its phrases' counts are summed; then they are complete, and
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import documents, drop, stored, worker_tool
+from larder.llm.common import documents, drop, stored, work_folder, worker_tool
 
 SHARDS = 4
 THRESHOLD = 10
 TOP = 2000
 SLOT_BITS, CHUNK_BITS = 24, 15  # 16 MB a table; bitmaps of Spark's size bring its changes
 NEVER = 255
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS, BLOCK_BYTES = 3_000_000, 1 << 26
 BATCH_ROWS = 1 << 17
 BREAK = b"\xff"  # in no text's UTF-8: stands between pieces
-PIECES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", BREAK * 10)
+# letters in lower case, ends of pieces as breaks, tabs as blanks
+CLEAN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d\t", bytes(range(97, 123)) + BREAK * 10 + b" ")
 K = np.uint64(0x9E3779B97F4A7C15)
 COUNTED = "lang string, phrase string, words int, start int, n long"
 
@@ -67,45 +69,58 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return _mix(first * K + second)
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode()))
-
+@lru_cache(maxsize=64)
+def _seed(lang: str) -> int:
+    return xxhash.xxh32_intdigest(lang.encode())
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words with ASCII letters in lower case, and ``BREAK`` where a piece ends."""
-    return (text or "").encode().lower().translate(PIECES).replace(BREAK, b" \xff ").split()
 
+def word_hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, _seed(lang))
 
-class Numbers(dict):
-    """Numbers words as they come."""
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def tokens_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Words with ASCII letters in lower case, and ``BREAK`` where a piece ends: their bytes one after
+    the other, and where each begins."""
+    raw = np.frombuffer((text or "").encode().translate(CLEAN) + BREAK, dtype=np.uint8)
+    full, ends = raw != 32, raw == BREAK[0]
+    first = full.copy()
+    first[1:] &= ~full[:-1] | ends[:-1] | ends[1:]
+    return raw[full], np.flatnonzero(first[full])
 
 
 class Block:
     """The words of one language that a task has read since the last counts it gave."""
 
     def __init__(self, lang: str):
-        self.lang, self.numbers, self.runs, self.size = lang, Numbers({BREAK: 0}), [], 0
-
-    def add(self, text: str | None) -> int:
-        """Takes in a text; how many words and breaks that is."""
-        tokens = tokens_of(text)
-        if tokens:
-            tokens.append(BREAK)
-            self.runs.append(np.fromiter(map(self.numbers.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
-            self.size += len(tokens)
-        return len(tokens)
+        self.lang, self.size, self.bytes = lang, 0, 1
+        self.data, self.starts = [np.frombuffer(BREAK, dtype=np.uint8)], [np.zeros(1, dtype=np.int64)]  # the break is number 0
+
+    def add(self, text: str | None) -> tuple[int, int]:
+        """Takes in a text; how many words and breaks that is, and how many bytes."""
+        if not text:
+            return 0, 0
+        data, starts = tokens_of(text)
+        self.data.append(data)
+        self.starts.append(starts + self.bytes)
+        self.size += len(starts)
+        self.bytes += len(data)
+        return len(starts), len(data)
+
+    def _numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """The words as numbers, and the words that these stand for."""
+        offsets = np.concatenate([*self.starts, [self.bytes]]).astype(np.int32)
+        data = np.concatenate(self.data)
+        self.data.clear()
+        self.starts.clear()
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary.to_pylist()
 
     def counts(self, step: int, shards: int, tables: tuple, longest: int):
         """Batches of (COUNTED) for the phrases that this step counts."""
         words_at, pairs_at, bits = tables
-        ids = np.concatenate(self.runs)
-        self.runs.clear()
-        names = list(self.numbers)
-        hashes = np.array([word_hash(self.lang, w) for w in names], dtype=np.uint64)
+        ids, names = self._numbered()
+        seed, digest = _seed(self.lang), xxhash.xxh3_64_intdigest
+        hashes = np.fromiter((digest(w, seed) for w in names), np.uint64, len(names))
         names[0] = b""
         text = pa.array(names, pa.binary()).cast(pa.string())
         if step < shards:
@@ -193,22 +208,33 @@ class Activation:
         return new
 
 
+def _sharded(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs`` (lang, text) with the ``shard`` of each row, stored so that one is read without the others."""
+    spark = docs.sparkSession
+    path = f"{work_folder(spark)}/phrase-docs-{uuid.uuid4().hex}"
+    docs.withColumn("shard", F.pmod(F.xxhash64("lang", "text"), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
+    table = spark.read.schema("lang string, text string, shard int").parquet(path)
+    table._stored_at = path
+    return table
+
+
 def _scan(rows: DataFrame, step: int, shards: int, tables, longest: int, block_words: int) -> DataFrame:
     """The counts of one step, block by block."""
 
     def run(batches):
         blocks: dict[str, Block] = {}
 
-        held = 0
+        held = held_bytes = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block = blocks.get(lang)
                 if block is None:
                     block = blocks[lang] = Block(lang)
-                held += block.add(text.as_py())
-                if held >= block_words:  # the largest goes first, so that the others gather more
-                    block = blocks.pop(max(blocks, key=lambda x: blocks[x].size))
-                    held -= block.size
+                words, size = block.add(text.as_py())
+                held, held_bytes = held + words, held_bytes + size
+                if held >= block_words or held_bytes >= BLOCK_BYTES:  # the largest goes first, so that the others gather more
+                    block = blocks.pop(max(blocks, key=lambda x: blocks[x].bytes))
+                    held, held_bytes = held - block.size, held_bytes - block.bytes + 1
                     yield from block.counts(step, shards, _unpacked(tables), longest)
         for block in blocks.values():
             if block.size:
@@ -223,7 +249,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
     ``threshold`` times or more, and (lang, n) with the number of all words."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))
+    docs = _sharded(docs, shards)
     # a step reads a shard's rows only: fewer, fuller tasks find more equal phrases before the shuffle
     tasks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     active = Activation(spark, slot_bits)
@@ -234,7 +260,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
     totals = None
     step = 0
     while any(s + shards > step for group in starts.values() for s in group):
-        rows = docs.filter(shard == step % shards).coalesce(tasks)
+        rows = docs.filter(F.col("shard") == step % shards).select("lang", "text").coalesce(tasks)
         tables = active.shared()
         steps[step] = stored(_scan(rows, step, shards, tables, longest, block_words), f"phrases-{step}")
         tables.destroy()
@@ -267,6 +293,7 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHA
         if ended in steps:  # no later start needs what that step counted
             drop(steps.pop(ended))
         step += 1
+    drop(docs)
     counts = complete[0]
     for more in complete[1:]:
         counts = counts.union(more)

@@ -109,3 +109,25 @@ def test_query_is_whole(spark):
     docs.execute(f"CREATE VIEW documents AS SELECT * FROM '{root}/documents.parquet'")
     want = docs.execute(phrase_mining.ORACLE).fetchall()
     assert len(want) > 100 and made(phrase_mining.query(spark, root)) == sorted(want)
+
+
+def test_words_of_a_block_are_numbered_at_once():
+    texts = ["Ab a\tB.c", None, "", "  ", "x  ab", "É É...", "a\n\nb", "end."]
+    block = phrase_mining.Block("en")
+    sizes = [block.add(t) for t in texts]
+    ids, names = block._numbered()
+    want = [b"\xff"]
+    for text in filter(None, texts):
+        want += phrase_mining.BREAK.join(re.split(b"[.,;:!?\x0a-\x0d]", re.sub(b"[A-Z]", lambda m: m[0].lower(), text.encode()))).replace(b"\xff", b" \xff ").split() + [b"\xff"]
+    assert [names[i] for i in ids.tolist()] == want and ids[0] == 0 and len(set(names)) == len(names)
+    assert sum(n for n, _ in sizes) == block.size == len(want) - 1 and sum(n for _, n in sizes) + 1 == block.bytes == sum(map(len, want))
+
+
+def test_a_step_reads_only_its_shard(spark):
+    docs = spark.createDataFrame([("en", f"text {i}") for i in range(200)] + [("en", "text 1"), ("fr", "")], "lang string, text string")
+    table = phrase_mining._sharded(docs, 3)
+    files = [set(table.filter(F.col("shard") == k).select("text").inputFiles()) for k in range(3)]
+    assert sum(table.filter(F.col("shard") == k).count() for k in range(3)) == table.count() == 202
+    one = table.filter(F.col("shard") == 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in one and all(files)
+    assert phrase_mining._sharded(docs.limit(0), 3).count() == 0
