@@ -11,7 +11,8 @@ import pyarrow as pa
 MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 CLOSING = (",", ".")
-LEARN = 4096  # new chunks that are encoded in one text
+FAR_LETTER = "\u0250"  # letters before it are letters to any version of Unicode
+LEARN = 512  # new chunks that are encoded in one text
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -84,7 +85,7 @@ class JoinedMemo:
     time, joined to one text, which costs a library far less than a call for each.
 
     A chunk is a word with the blank or line feed before it; no piece of the pattern goes on from
-    one into the next. ``encode`` gives the ids of any text and ``sizes`` the bytes of every id. Of
+    one into the next. Equal chunks are found by Arrow, so that each is looked up once a call. ``encode`` gives the ids of any text and ``sizes`` the bytes of every id. Of
     chunks of up to ``MEMO_CHARS`` characters two generations of bounded size are kept.
     """
 
@@ -92,6 +93,7 @@ class JoinedMemo:
         self.encode, self.sizes = encode, sizes
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}  # chunks over MEMO_CHARS of the last call
         self.feed = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -110,32 +112,64 @@ class JoinedMemo:
             self.young[chunk] = data[start:end]
             start = end
 
+    def _learn_all(self, chunks: list[str]) -> None:
+        """Learns ``chunks``, of a letter and a mark after it the two parts that the pattern makes of them."""
+        parted = [c for c in chunks if c[-1] in CLOSING and len(c) > 2 and c[-2].isalpha() and c[-2] < FAR_LETTER]
+        bare = {c[:-1] for c in parted}
+        new = [c for c in bare.union(set(chunks).difference(parted)) if c not in self.young]
+        for at in range(0, len(new), LEARN):
+            self._learn(new[at:at + LEARN])
+        marks = {m: self._whole(m) for m in {c[-1] for c in parted}}
+        self.young.update((c, self.young[c[:-1]] + marks[c[-1]]) for c in parted)
+        for c in bare.union(chunks):
+            if len(c) > MEMO_CHARS:
+                self.long[c] = self.young.pop(c)
+
     @staticmethod
-    def _chunks(text: str) -> list[str] | None:
-        """The text cut into chunks, with a line feed before the first; None where a text begins with space."""
-        if text[0].isspace():
+    def _cut(text: str) -> tuple[bytes, np.ndarray] | None:
+        """A line feed and the text, in bytes, and where its chunks begin; None where a text begins with space."""
+        if not text or text[0].isspace():
             return None
-        if plain_spaces(text) and "\0" not in text:
-            return ("\n" + text).replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
+        data = ("\n" + text).encode()
+        if plain_spaces(text):
+            raw = np.frombuffer(data, dtype=np.uint8)
+            return data, np.flatnonzero((raw == 32) | (raw == 10))
         first, *rest = CUT.split(text)
-        return ["\n" + first, *rest]
+        sizes = [len(c.encode()) for c in ["\n" + first, *rest]]
+        return data, np.cumsum([0, *sizes[:-1]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as int32 bytes."""
-        split = [self._chunks(t) if t else None for t in texts]
+        cut = [self._cut(t) for t in texts]
+        if not any(cut):
+            return [self._whole(t) if t else b"" for t in texts]
+        data, starts = b"".join(c[0] for c in cut if c), [c[1] for c in cut if c]
+        bases = np.cumsum([0, *(len(c[0]) for c in cut if c)])
+        offsets = np.append(np.concatenate([s + b for s, b in zip(starts, bases.tolist(), strict=False)]), len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.young) >= MEMO_ENTRIES:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = set().union(*(c for c in split if c)).difference(young)
-        young.update((c, old[c]) for c in new if c in old)
-        new = [c for c in new if c not in young]
-        for at in range(0, len(new), LEARN):
-            self._learn(new[at:at + LEARN])
-        lead = len(self.feed)
-        out = [
-            b"".join(map(young.__getitem__, chunks))[lead:] if chunks else self._whole(text) if text else b""
-            for text, chunks in zip(texts, split, strict=True)]
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del young[c]
-        return out
+        self.long, young, old = {}, self.young, self.old
+        known = list(map(young.get, chunks))
+        missing = [(i, chunks[i]) for i, ids in enumerate(known) if ids is None]
+        again = {c: old[c] for _, c in missing if c in old}
+        young.update(again)
+        self._learn_all([c for _, c in missing if c not in again])
+        for i, c in missing:
+            known[i] = young[c] if c in young else self.long[c]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, code = np.frombuffer(b"".join(known), dtype=np.int32), found.indices.to_numpy()
+        many = sizes[code]
+        ends = np.cumsum(many)
+        out = ids[np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - many), many) + np.arange(ends[-1])].tobytes()
+        text_ends = iter((4 * ends[np.cumsum([len(s) for s in starts]) - 1]).tolist())
+        encoded, at, lead = [], 0, len(self.feed)
+        for text, c in zip(texts, cut, strict=True):
+            if c:
+                end = next(text_ends)
+                encoded.append(out[at + lead:end])
+                at = end
+            else:
+                encoded.append(self._whole(text) if text else b"")
+        return encoded

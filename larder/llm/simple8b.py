@@ -34,7 +34,7 @@ from larder.llm.common import documents, stored
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
-GROUP_CHARS = 1 << 20  # of texts that are encoded together
+GROUP_CHARS = 1 << 22  # of texts that are encoded together
 
 # Ids per word and bits per id for selectors 2 to 15; 0 is the escape, 1 is unused.
 COUNTS = [1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]

@@ -157,3 +157,14 @@ def test_id_file_gives_ids_back(spark):
     back = simple8b.read_ids(files).collect()
     assert len(back) == len(edge_rows()) and all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in back)
     assert files.count() > 1 and simple8b.read_ids(simple8b.write_ids(empty(spark), path)).count() == 0
+
+
+def test_a_word_and_its_mark_are_learned_apart():
+    encoder = simple8b._encoder.__wrapped__(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, plain = [], encoder.encode
+    encoder.encode = lambda text: asked.append(text) or plain(text)
+    texts = ["some words, some words. words\nwords, é, naïve. 1, 2. it's, ẞ, a.b, c,,", "x" * 60 + ", " + "x" * 60 + ".", "", "  a, b", "q, r <|endoftext|>, s.<|endoftext|>"]
+    for _ in range(2):
+        assert [np.frombuffer(x, dtype=np.int32).tolist() for x in encoder(texts)] == [plain(t) if t else [] for t in texts]
+    learned = "".join(a for a in asked if a not in texts)
+    assert " words," not in learned and learned.count(" words") == 1 and not any(len(c) > chunks.MEMO_CHARS for c in encoder.young)
