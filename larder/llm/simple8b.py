@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ from larder.llm.common import documents, stored
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
-GROUP_CHARS = 1 << 22  # of texts that are encoded together
+GROUP_BYTES = 1 << 23  # of texts that are encoded together
 
 # Ids per word and bits per id for selectors 2 to 15; 0 is the escape, 1 is unused.
 COUNTS = [1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -75,14 +77,14 @@ def pack(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in range(15, 1, -1):  # wide to narrow: the last that fits holds the most
         selector[(_widest(widest, COUNTS[s]) <= WIDTHS[s]) & (room >= COUNTS[s])] = s
     take = np.array(COUNTS)[selector]
-    hops, starts, first = take.tolist(), [], []
+    hops, starts, first = take.tolist(), array("q"), []
     i = 0
     for end in ends.tolist():
         first.append(len(starts))
         while i < end:
             starts.append(i)
             i += hops[i]
-    starts = np.array(starts, dtype=np.int64)
+    starts = np.frombuffer(starts, dtype=np.int64)
     chosen = selector[starts]
     used = 1 + (chosen == 0)
     place = np.cumsum(used) - used
@@ -92,10 +94,10 @@ def pack(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[place[mine] + 1] = ids[starts[mine]]
             continue
-        k = np.arange(COUNTS[s])
-        grid = ids[starts[mine][:, None] + k]
-        packed = np.bitwise_or.reduce(grid << (k * WIDTHS[s]).astype(np.uint64), axis=1)
-        words[place[mine]] = packed | (np.uint64(s) << np.uint64(60))
+        at, packed = starts[mine], np.uint64(s) << np.uint64(60)
+        for k in range(COUNTS[s]):
+            packed = packed | ids[at + k] << np.uint64(k * WIDTHS[s])
+        words[place[mine]] = packed
     place = np.append(place, len(words))
     return words, place[np.array(first, dtype=np.int64)]
 
@@ -123,11 +125,12 @@ def unpack(words: np.ndarray, lens: np.ndarray, doc_words: np.ndarray) -> np.nda
         if s == 0:
             out[target[mine]] = words[mine + 1]
             continue
-        k = np.arange(COUNTS[s])
-        values = (words[mine][:, None] >> (k * WIDTHS[s]).astype(np.uint64)) & np.uint64((1 << WIDTHS[s]) - 1)
-        where = target[mine][:, None] + k
-        inside = where < limit[mine][:, None]
-        out[where[inside]] = values[inside]
+        at, held, end = target[mine], words[mine], limit[mine]
+        full = bool((at + COUNTS[s] <= end).all())
+        for k in range(COUNTS[s]):
+            values = held >> np.uint64(k * WIDTHS[s]) & np.uint64((1 << WIDTHS[s]) - 1)
+            inside = slice(None) if full else at + k < end
+            out[(at + k)[inside]] = values[inside]
     return out
 
 
@@ -163,18 +166,23 @@ def _block(part: int, block: int, first: int, doc_ids: list, parts: list[bytes])
 
 
 def _groups(batches):
-    """(ids, texts) of the rows in order, some ``GROUP_CHARS`` of text at a time."""
-    ids, texts, chars = [], [], 0
+    """(ids, texts) of the rows in order, some ``GROUP_BYTES`` of text at a time."""
+    ids, texts, size = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            chars += len(texts[-1])
-            if chars >= GROUP_CHARS:
-                yield ids, texts
-                ids, texts, chars = [], [], 0
+        ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, before + GROUP_BYTES - size)) + 1, batch.num_rows)
+            ids += batch.column(0).slice(at, to - at).to_pylist()
+            texts.append(batch.column(1).slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= GROUP_BYTES:
+                yield ids, pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, pa.concat_arrays(texts)
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS,

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -168,3 +169,22 @@ def test_a_word_and_its_mark_are_learned_apart():
         assert [np.frombuffer(x, dtype=np.int32).tolist() for x in encoder(texts)] == [plain(t) if t else [] for t in texts]
     learned = "".join(a for a in asked if a not in texts)
     assert " words," not in learned and learned.count(" words") == 1 and not any(len(c) > chunks.MEMO_CHARS for c in encoder.young)
+
+
+def test_chunks_are_cut_in_bytes_for_all_texts_at_once(monkeypatch):
+    rng = random.Random(8)
+    encoder = simple8b._encoder.__wrapped__(public_tokenizers.path("byte_bpe_50k.json"))
+    bits = ["a", "The", "é", "ß", "×", "÷", "Ł", "ɏ", "ə", "ẞ", "漢", "“", "…", "'s", "9", ",", ".", ",.", " ", " ", "\n", "  ", "\n\n", "\t", "\x1f", "\x85", "\xa0",
+            " ", " ", " ", " ", " ", "　", "<|endoftext|>", "x" * 50, "\0"]
+    texts = [None, "", *("".join(rng.choices(bits, k=rng.randrange(1, 12))) for _ in range(3000))]
+    cut = pa.array(["x", *texts], pa.string()).slice(1)
+    for _ in range(2):
+        assert [np.frombuffer(x, dtype=np.int32).tolist() for x in encoder(cut)] == [encoder.encode(t) if t else [] for t in texts]
+    fresh = simple8b._encoder.__wrapped__(public_tokenizers.path("byte_bpe_50k.json"))
+    assert fresh(pa.array(["words, words. words", "naïveté, naïveté\nnaïveté."])) and not any(len(c) > 1 and c[-1] in ",." for c in fresh.young)
+    assert fresh([]) == [] and fresh(pa.array([None], pa.string())) == [b""]
+    monkeypatch.setattr(simple8b, "GROUP_BYTES", 40)
+    batches = [pa.RecordBatch.from_pydict({"i": pa.array(range(k, k + 5), pa.int64()), "t": pa.array(texts[k:k + 5], pa.string())}) for k in range(0, 500, 5)]
+    groups = list(simple8b._groups(batches))
+    assert len(groups) > 1 and [i for ids, _ in groups for i in ids] == list(range(500)) and [t for _, part in groups for t in part.to_pylist()] == texts[:500]
+    assert all(sum(len((t or "").encode()) for t in part.to_pylist()[:-1]) < 40 for _, part in groups)
