@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,19 @@ def test_popular_words_stay_within_the_matrix(monkeypatch):
     texts = pa.array(["a b c d e"] * 10)
     shard = bm25_wand.Shard(texts, pa.array(list("abcde")), np.ones(5), 5.0, np.ones(5))
     assert shard.dense.size == 30 and [len(h) for h in shard.search([np.arange(5)], [0.0], 10)] == [10]
+
+
+def test_counting_words_takes_memory_by_the_slice(monkeypatch):
+    texts = pa.array([" ".join(f"w{(i + k) % 40}" for k in range(3000)) for i in range(1200)])
+    tracemalloc.start()
+    words, numbers, texts_of, tf, lengths = bm25_wand.counted(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * texts.nbytes
+    assert len(words) == 40 and len(numbers) == 40 * 1200 and tf.tolist() == [75] * 48_000 and set(lengths.tolist()) == {3000}
+    texts, want = ["b a", "c b b", None, "", "a" * 30, "a c"], {("b", 0, 1), ("a", 0, 1), ("c", 1, 1), ("b", 1, 2), ("a" * 30, 4, 1), ("a", 5, 1), ("c", 5, 1)}
+    for size in (1, 7, 100):
+        monkeypatch.setattr(bm25_wand, "SLICE", size)
+        words, numbers, texts_of, tf, lengths = bm25_wand.counted(pa.array(["x y", *texts]).slice(1))
+        assert {(words[w].as_py(), i, c) for w, i, c in zip(numbers.tolist(), texts_of.tolist(), tf.tolist(), strict=True)} == want
+        assert len(words) == 4 and lengths.tolist() == [2, 3, 0, 0, 1, 2]
