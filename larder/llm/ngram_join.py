@@ -48,6 +48,7 @@ COUNT_BLOCK = 1 << 22
 LEAF = 16
 FANOUT = 8
 WORD_MEMO = 100_000
+SLICE = 512
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -140,16 +141,32 @@ def _tools(size: int, percent: int) -> tuple[Shingler, Bands]:
     return shingles, bands
 
 
+def _sliced(batches):
+    """The rows in order, ``SLICE`` at a time, so that a task holds the sets of so many texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _counted(batches, shingles: Shingler):
     """(part, low, many) rows: per part of the hash range its distinct shingles of a block of texts,
     40 bits each below the part's, and which of them occur in how many texts if not in one."""
     held, size = [], 0
 
     def block():
-        found, n = np.unique(np.concatenate(held), return_counts=True)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        found, last = every[first], len(every)
+        del every
+        n = np.diff(np.append(first, last))
+        del first
         edges = np.searchsorted(found, np.arange(1 << PART_BITS, dtype=np.uint64) << np.uint64(64 - PART_BITS))
         edges = np.append(edges, len(found)).tolist()
-        low = ((found >> np.uint64(24 - PART_BITS)) & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
+        found >>= np.uint64(24 - PART_BITS)
+        found &= np.uint64((1 << 40) - 1)
+        low = found.view(np.uint8).reshape(-1, 8)[:, :5]
         parts, lows, many = [], [], []
         for part, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
             if i < j:
@@ -168,7 +185,7 @@ def _counted(batches, shingles: Shingler):
                 size += len(s)
             if size >= COUNT_BLOCK:
                 yield block()
-                held, size = [], 0
+                size = 0
     if held:
         yield block()
 
@@ -249,7 +266,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         shingles, bands = _tools(size, percent)
-        for batch in batches:
+        for batch in _sliced(batches):
             n, d1, d2, sigs = [], [], [], []
             for text in batch.column(2):
                 s = shingles(text.as_py())
@@ -394,17 +411,20 @@ def _tasks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """
 
     def links(held):
-        sets = [np.frombuffer(r["tokens"], dtype=np.uint64) for r in held]
-        cross = held[0]["side"] is not None
-        found = linked(sets, percent, [r["known"] for r in held] if cross else None, [r["side"] for r in held] if cross else None)
+        nodes, tokens, known, sides = zip(*held, strict=True)
+        sets = [np.frombuffer(t, dtype=np.uint64) for t in tokens]
+        cross = sides[0] is not None
+        found = linked(sets, percent, list(known) if cross else None, list(sides) if cross else None)
         return pa.RecordBatch.from_pydict({
-            "a": pa.array([held[i]["node"] for i, _ in found], pa.int64()), "b": pa.array([held[j]["node"] for _, j in found], pa.int64())})
+            "a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
 
     def run(batches):
         held, now = [], None
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
+        for batch in _sliced(batches):
+            # tokens stay where Arrow has them
+            columns = [[t.as_buffer() for t in batch.column(c)] if c == "tokens" else batch.column(c).to_pylist() for c in ("node", "tokens", "known", "side")]
+            keyed = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            for key, row in zip(keyed, zip(*columns, strict=True), strict=True):
                 if key != now and held:
                     if len(held) > 1:
                         yield links(held)
@@ -415,7 +435,7 @@ def _tasks(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
             yield links(held)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "node", "tokens", "known", "side").repartition(n, *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -428,7 +448,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> D
 
     def run(batches):
         shingles, _ = _tools(size, percent)
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = [shingles(t.as_py()) for t in batch.column(3)]
             same = [digest(s) == d for s, d in zip(sets, zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True), strict=True)]
             mine = batch.filter(pa.array(same))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -166,3 +167,22 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert ngram_join.groups(empty(spark)).count() == 0
+
+
+def test_shingles_are_counted_in_little_memory():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 1000, 1200).tolist())) for _ in range(300)]
+    shingles, batch = ngram_join.Shingler(5), ngram_join.pa.RecordBatch.from_pydict({"t": texts})
+    size = sum(shingles(t).nbytes for t in texts)
+    tracemalloc.start()
+    rows = [r for out in ngram_join._counted([batch], shingles) for r in out.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.6 * size
+    assert sum(len(r["low"]) // 5 for r in rows) == len(np.unique(np.concatenate([shingles(t) for t in texts])))
+
+
+def test_batches_go_by_the_slice(monkeypatch):
+    monkeypatch.setattr(ngram_join, "SLICE", 3)
+    batches = [ngram_join.pa.RecordBatch.from_pydict({"t": list(range(n))}) for n in (7, 0, 3)]
+    assert [b.column(0).to_pylist() for b in ngram_join._sliced(batches)] == [[0, 1, 2], [3, 4, 5], [6], [0, 1, 2]]
