@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from larder.operators import grouping, metrics, ranking, refresh, search
 from larder.operators.filters import FilterSpec
 from larder.plans import catalog, sql_surface, writes
-from larder.session import cut_lineage
+from larder.session import CLEANUP, cut_lineage, kept
 from larder.sources import feeds, retailers
 from larder.sources.adapter import StarCatalog
 
@@ -146,3 +147,25 @@ def test_refresh_works_out_the_touched_variants_once(cat):
     brand = cat.brands.filter("name = 'Brand#7'").select("brand_id")
     fresh = refresh.refresh(cut_lineage(catalog.view(cat)), cat, {"brands": brand})
     assert any("/touched-" in path for path in fresh.inputFiles())
+
+
+def files_below(folder):
+    return sum(len(files) for _, _, files in os.walk(folder))
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    rows = spark.range(50_000).repartition(7).groupBy((F.col("id") % 1000).alias("k")).count()
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    before = files_below(folder)
+    table = kept(rows, "counted")
+    for _ in range(50):  # files are deleted beside the job
+        if files_below(folder) <= before:
+            break
+        time.sleep(0.1)
+    assert files_below(folder) <= before and table.count() == 1000
+    assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_refreshed_rows_are_stored_before_the_view_is_shuffled(cat):
+    fresh = refresh.refresh(cut_lineage(catalog.view(cat)), cat, {"brands": cat.brands.filter("name = 'Brand#7'").select("brand_id")})
+    assert {path.rsplit("/", 2)[1].split("-")[0] for path in fresh.inputFiles()} == {"touched", "fresh"}
