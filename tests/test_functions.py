@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import facets, identity, nutrition, units
-from larder.functions.text import exact_round
+from larder.functions.text import collapse_ws, exact_round, let, number, stage
+from larder.sources.retailers import json_block
 
 
 def apply(spark, values, column, kind="string"):
@@ -93,3 +94,31 @@ def test_nutrition_text(spark):
 ])
 def test_html_to_text(spark, html, text):
     assert apply(spark, [html], nutrition.html_to_text) == [text]
+
+
+SPACES = {*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+
+
+def test_whitespace_is_these_characters(spark):
+    codes = [c for c in [*range(1, 0x3100), 0xFEFF, 0xFFFD] if not 0xD800 <= c < 0xE000]
+    got = apply(spark, [f"a{chr(c)}b" for c in codes], lambda x: collapse_ws(x) == "a b")
+    assert {c for c, y in zip(codes, got, strict=True) if y} == SPACES
+
+
+def test_numbers_and_blocks_that_are_none(spark):
+    assert apply(spark, ["", "1.5", "x", None, "07"], number) == [None, 1.5, None, None, 7.0]
+    # an empty text is no number by a comparison, not by a cast that fails
+    plan = spark.createDataFrame([("",)], "x string").select(number(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "if" in plan.lower() and "try_cast" in plan.lower()
+    blocks = ["{broken", ' { "a": 1 }', "{}", "{ }", "[1]", "", "5", "{'a':1}", None, '{"a"', '\n{\n"a":{b}}']
+    parsed = [False, True, True, True, True, False, True, False, False, False, False]
+    assert apply(spark, blocks, lambda x: json_block(x).isNotNull()) == parsed
+
+
+def test_a_stage_carries_columns_only(spark):
+    df = spark.createDataFrame([("2 lb",)], "x string")
+    staged = stage(df, {"y": let(F.upper("x"), lambda v: F.concat(v, v))}).filter("y <> ''")
+    lines = staged._jdf.queryExecution().executedPlan().toString().splitlines()
+    generated = [line for line in lines if "Generate inline" in line]
+    assert len(generated) == 1 and "lambda" not in generated[0] and "upper" not in generated[0]
+    assert sum("transform(" in line for line in lines) == 1 and staged.first().y == "2 LB2 LB"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import detail, grouping, metrics, ranking
 from larder.operators.filters import FilterSpec
-from larder.plans import catalog, text
+from larder.plans import catalog, payloads, text
 from larder.sources.adapter import StarCatalog
 
 ROOT = "/root/testdata/sf0.001"
@@ -77,3 +77,12 @@ def test_titles_are_parsed_once_for_resolution(cat):
         rows = query(cat)
         assert all("/titles_" in path for path in rows.inputFiles())
         assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_family_is_dealt_over_all_tasks(spark, cat):
+    """Even where the keys come dealt by variant from an aggregate, whose partitions adaptive execution joins."""
+    for kind in ("shopify", "jsonld"):
+        assert "REPARTITION_BY_NUM" in executed(payloads.landed_families(cat)[kind])
+    df = payloads.landed_families(cat)["walmart"]
+    df.write.format("noop").mode("overwrite").save()
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
