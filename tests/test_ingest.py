@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from larder.operators import foreign_keys, metrics, quality
+from larder.operators import foreign_keys, ingest, metrics, quality
 from larder.operators.components import connected
 from larder.operators.ingest import COUNTERS, Ingestion
 from larder.operators.resolve import resolve_chains
+from larder.session import kept
 
 SOURCES = "source_id int, slug string, name string, type string, market string, base_url string, enabled boolean"
 LANDED = "source_id int, source_slug string, source_name string, base_url string, market string"
@@ -204,3 +205,12 @@ def test_issue_messages(spark):
     told = {i.variant_id: (i.severity, i.message) for i in both}
     assert told["v"] == ("error", "fat_g is negative (-1.0); servings_per_container (0.5) is below 2; implied serving size 1800 g exceeds 200 g")
     assert told["w"] == ("warning", "serving_size_g 300.0 outside plausible range; calories 300.0 disagree with macros (~117 kcal, 61% off)")
+
+
+def test_whole_records_are_shuffled_once(spark, tmp_path, monkeypatch):
+    labels = []
+    monkeypatch.setattr(ingest, "kept", lambda df, label: labels.append((label, df.columns)) or kept(df, label))
+    runs = ingest.Ingestion(spark, str(tmp_path))
+    runs.run(landed(spark), sources(spark), "r1", "2030-01-01")
+    assert [label for label, _ in labels] == ["listed", "records", "keys"]
+    assert "title" in labels[1][1] and labels[2][1] == ["listing_id", "product_key"]
